@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, line_quality, token_files, warc
+from . import byte_bpe, decontaminate, line_dedup, line_quality, near_dedup, token_files, warc
 from .common import new_folder, table
 
 #: The id that ends a document in the token files.
@@ -26,11 +26,31 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("stays"), "n_words")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), new_folder(spark, "tokens"), END_ID)
     return token_files.read_tokens(index).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    names = F.sort_array(F.transform("items", lambda x: x.cast("string")))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["stop"])), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+        spans.alias("removal_spans"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_quality.quality_verdicts(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
@@ -101,7 +121,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_warc": op2_warc,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_near_dedup": op4_near_dedup,
         "op5_token_files": op5_token_files,
+        "op6_decontamination": op6_decontamination,
         "op8_quality_rules": op8_quality_rules,
         "op9_line_dedup": op9_line_dedup,
     }
