@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from motionlake.llm import common, line_dedup, line_quality
+from motionlake.llm import byte_bpe, common, decontaminate, line_dedup, line_quality, near_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +19,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.clean_documents(docs)
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays."""
+    return near_dedup.keep_one(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are contaminated with benchmark passages go."""
+    return decontaminate.keep_clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's ids (binary, little-endian 32 bit) and the text that they decode to, as a digest."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    done = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("near copies", near_copies), ("benchmark", benchmark), ("tokens", tokens)]
 
 #: A similarity join and a merge replay have no SQL; tests hold the result against a brute-force version.
 ORACLE_SQL = None
