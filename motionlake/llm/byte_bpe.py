@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Characters of text that share one replay.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 8_000_000
 
 
 class Merges:
