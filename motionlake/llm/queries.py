@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, line_dedup, line_quality, near_dedup, token_files, warc
+from . import byte_bpe, decontaminate, html_text, line_dedup, line_quality, near_dedup, secret_scan, token_files, toxicity, warc
 from .common import new_folder, table
 
 #: The id that ends a document in the token files.
 END_ID = 2
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_tables", "text")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.read_archives(warc.archive(table(spark, sf_dir, "pages")), payloads=False)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -51,6 +56,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(said("base"), 256).alias("base_sha256"), said("spans").alias("spans"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_quality.quality_verdicts(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
@@ -63,6 +75,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC_AT).cast("int").alias("predicted"))
+
+
 LINES_SQL = r"""
 lines AS (
   SELECT doc_id, source, md5(text) AS tx, i, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS nl
@@ -119,13 +137,16 @@ FROM parts
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_text": op1_html_text,
         "op2_warc": op2_warc,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_near_dedup": op4_near_dedup,
         "op5_token_files": op5_token_files,
         "op6_decontamination": op6_decontamination,
+        "op7_secret_scan": op7_secret_scan,
         "op8_quality_rules": op8_quality_rules,
         "op9_line_dedup": op9_line_dedup,
+        "op10_toxicity": op10_toxicity,
     }
 
 
