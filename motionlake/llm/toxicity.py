@@ -44,6 +44,7 @@ RATIO = 5
 #: Tokens around a match in which quotation marks make it a quotation, and tokens of a window of abuse.
 QUOTE_REACH = 12
 WINDOW = 60
+FEATURES = 7
 TOXIC_AT = 0.7
 COUNTER_WORDS = 400_000
 MEMO_WORDS = 1_000_000
@@ -155,7 +156,8 @@ class Reader:
         self.lexicon, self.hits, self.misses = lexicon, {}, set()
 
     def features(self, text: str | None) -> list[float]:
-        """log of unquoted, quoted and misspelled weight; weight a token; the densest window; whether there is a match."""
+        """log of unquoted, quoted and misspelled weight; weight a token; the densest window; whether there is a
+        match; the largest weight of an unquoted match without errors."""
         tokens = tokens_of(text)
         if new := set(tokens) - self.misses - self.hits.keys():
             if len(self.misses) > MEMO_WORDS:
@@ -168,7 +170,7 @@ class Reader:
         hits = self.hits
         at = [i for i, w in enumerate(tokens) if w in hits]
         if not at:
-            return [0.0] * 6
+            return [0.0] * FEATURES
         quotes = [i for i, w in enumerate(tokens) if w in QUOTES]
         q = np.searchsorted(quotes, at)
         edge = np.array([-(10**9), *quotes, 10**9])
@@ -186,6 +188,7 @@ class Reader:
             float(open_weight.sum()) / (len(tokens) + 20),
             math.log1p(densest),
             float((open_weight > 0).any()),
+            float(np.where(wrong, 0.0, open_weight).max()),
         ]
 
 
@@ -234,16 +237,18 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def choose_terms(rows: list[tuple[str, bool, float, float]], least: float) -> list[tuple[str, bool, float]]:
     """(term, is a stem, gain, weight) to the terms that stay: a stem stands for the words it begins, or they for it."""
     below: dict[str, float] = defaultdict(float)
+    largest: dict[str, float] = defaultdict(float)
     words = {t: g for t, stem, g, _ in rows if not stem and g >= least}
     for t, g in words.items():
         for n in range(STEM[0], STEM[1] + 1):
             if len(t) > n:
                 below[t[:n]] += g
+                largest[t[:n]] = max(largest[t[:n]], g)
     kept: list[tuple[str, bool, float]] = []
     stems: set[str] = set()
     for t, stem, g, w in sorted(rows, key=lambda r: (-r[2], not r[1], r[0])):
         if len(kept) < MAX_TERMS and g >= least:
-            if stem and g > 1.2 * below[t] and not any(t.startswith(s) or s.startswith(t) for s in stems):
+            if stem and g > 0.8 * below[t] and g > 1.5 * largest[t] and not any(t.startswith(s) or s.startswith(t) for s in stems):
                 stems.add(t)
                 kept.append((t, True, w))
     for t, stem, g, w in sorted(rows, key=lambda r: (-r[2], r[0])):
@@ -314,7 +319,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model.lexicon)
         for batch in batches:
-            x = np.array([reader.features(t) for t in batch.column(1).to_pylist()]).reshape(-1, 6)
+            x = np.array([reader.features(t) for t in batch.column(1).to_pylist()]).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x), pa.float64())], names=[key, "score"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")

@@ -52,8 +52,8 @@ def test_misspelled_and_quoted_terms():
     plain, wrong, quoted = (reader.features(t) for t in ("you moron, worthless", "you morron, w0rthles worthles", 'he said "you moron" and left'))
     assert plain[0] > 2 and plain[2] == 0 and wrong[2] > 1
     assert quoted[0] == 0 and quoted[1] > 1
-    assert reader.features("scummiest")[0] > 1 and reader.features("scum and more") == [0.0] * 6
-    assert reader.features(None) == reader.features("") == [0.0] * 6
+    assert reader.features("scummiest")[0] > 1 and reader.features("scum and more") == [0.0] * T.FEATURES
+    assert reader.features(None) == reader.features("") == [0.0] * T.FEATURES
 
 
 def rows_of(seed, n=900):
