@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -239,9 +240,15 @@ def object_deformation(tracks: DataFrame, th: Thresholds) -> DataFrame:
     return as_violations(bad, "object_deformation", severity(F.col("worst") / th.deform_log_aspect) * 0.85)
 
 
-def all_checks(tracks: DataFrame, kpts: DataFrame, clips: DataFrame, th: Thresholds = Thresholds()) -> dict[str, DataFrame]:
-    """Violations by check, in the order in which the checks count."""
+def all_checks(tracks: DataFrame, kpts: DataFrame, clips: DataFrame, th: Thresholds = Thresholds(), shared: bool = False) -> dict[str, DataFrame]:
+    """Violations by check, in the order in which the checks count.
+
+    shared: the velocities that most checks read are kept in memory and on disk, so they are made once for all checks;
+    what is lost with an executor is made again.
+    """
     vel, ground = velocities(tracks, clips), ground_line(kpts, th)
+    if shared:
+        vel = vel.persist(StorageLevel.MEMORY_AND_DISK)
     return {
         "trajectory_jump": trajectory_jump(vel, th),
         "body_deformation": body_deformation(tracks.where("is_person"), kpts, clips, th),

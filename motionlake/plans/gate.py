@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,15 +23,20 @@ class Clip:
     """The views that the checks read."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.tracks = adapters.tracks(spark, sf_dir)
-        self.clips = adapters.clips(self.tracks)
-        self.kpts = adapters.keypoints(self.tracks)
+        self.use(adapters.tracks(spark, sf_dir))
 
-    def checks(self) -> dict[str, DataFrame]:
-        return checks.all_checks(self.tracks, self.kpts, self.clips, TH)
+    def use(self, tracks: DataFrame) -> None:
+        self.tracks = tracks
+        self.clips = adapters.clips(tracks)
+        self.kpts = adapters.keypoints(tracks)
+
+    def checks(self, shared: bool = False) -> dict[str, DataFrame]:
+        return checks.all_checks(self.tracks, self.kpts, self.clips, TH, shared)
 
     def violations(self) -> DataFrame:
-        return checks.union_all(self.checks())
+        """Of all checks: the boxes are aggregated once and kept for them."""
+        self.use(self.tracks.persist(StorageLevel.MEMORY_AND_DISK))
+        return checks.union_all(self.checks(shared=True))
 
 
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
@@ -82,7 +88,8 @@ def all_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clip_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Clip(spark, sf_dir)
-    return rounded(checks.clip_scores(c.violations(), c.clips, TH), 6, "score")
+    found = c.violations()
+    return rounded(checks.clip_scores(found, c.clips, TH), 6, "score")
 
 
 def top_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +99,8 @@ def top_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Clip(spark, sf_dir)
-    return checks.evidence_summary(c.tracks, c.violations())
+    found = c.violations()
+    return checks.evidence_summary(c.tracks, found)
 
 
 def _layout() -> str:
