@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most terms of a lexicon, and most training rows of the regression.
+#: Most terms of a lexicon, and about how many training rows the regression takes at most.
 MAX_TERMS = 2000
 MAX_FIT = 50_000
 #: Labels that a broadcast join may carry; more are joined by a shuffle.
@@ -306,7 +306,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([reader.features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
-    sample = train.orderBy(F.xxhash64("__key"), "__key").limit(MAX_FIT) if train.count() > MAX_FIT else train
+    share = max(1, train.count())  # a row's hash decides, so no task gathers the sample's texts
+    sample = train.where(F.pmod(F.xxhash64("__key"), F.lit(share)) < MAX_FIT)
     rows = sample.select("__text", "__toxic").mapInArrow(run, "x array<double>, y int").collect()
     y = np.array([r.y > 0 for r in rows], dtype=float)
     model = Model(lexicon, float(y.mean()) if len(y) else 0.0)
