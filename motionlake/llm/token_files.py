@@ -132,8 +132,9 @@ def parse_payload(data: bytes) -> tuple[int | None, np.ndarray]:
 
 #: Beyond these characters, the library's lower case and composition may depend on what stands beside a character.
 NOT_LATIN = re.compile(r"[^\x00-\xff]")
-#: A mark that ends a word; the library's pattern parts it from the letters too.
-END_MARK = re.compile(r"(?<=[a-zà-öø-ÿ])([.,;:!?])(?!\S)")
+#: A mark that ends a word after a letter; the library's pattern parts the two too.
+END_MARKS = frozenset(".,;:!?")
+LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ")
 
 
 @lru_cache(2)
@@ -157,9 +158,17 @@ def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
             whole.append(i)
             t = None
         elif t and not NOT_LATIN.search(t):
-            t = END_MARK.sub(r" \1", t.lower())
+            t = t.lower()
         seen.append(np.array([number.setdefault(w, len(number)) for w in t.split()] if t else [], dtype=np.int64))
-    flat = [e.ids for e in encoder.encode_batch_fast(list(number), add_special_tokens=False)]
+    parts: dict[str, int] = {}
+    split = []
+    for w in number:
+        if len(w) > 1 and w[-1] in END_MARKS and w[-2] in LETTERS:
+            split.append((parts.setdefault(w[:-1], len(parts)), parts.setdefault(w[-1], len(parts))))
+        else:
+            split.append((parts.setdefault(w, len(parts)), -1))
+    done = [e.ids for e in encoder.encode_batch_fast(list(parts), add_special_tokens=False)]
+    flat = [done[i] if j < 0 else done[i] + done[j] for i, j in split]
     counts = np.array([len(x) for x in flat], dtype=np.int64)
     starts = np.append(0, np.cumsum(counts))
     ids = np.array([x for part in flat for x in part], dtype=np.uint32)
