@@ -94,6 +94,24 @@ def test_classes_equal_all_pairs(spark, monkeypatch, seed, small):
     assert [found[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def links_of(spark, texts, sketches):
+    """Links between texts that have sketches of our own."""
+    docs = documents(spark, texts)
+    given = spark.createDataFrame(list(enumerate(sketches)), "id long, sketch array<long>")
+    reps = N.sketches(docs, "text", "doc_id").drop("sketch").join(given, "id")
+    return {(r.a, r.b) for r in N.links(docs, reps, "text", "doc_id", 0.8).collect()}
+
+
+def strangers_and_a_pair(strangers):
+    """Texts of ten words without common ones, and two more that are one edit apart."""
+    texts = [" ".join(f"s{i}w{k}" for k in range(10)) for i in range(strangers)]
+    return [*texts, "a b c d e f g h i j", "a b c d x f g h i j"]
+
+
+def test_one_common_sketch_is_enough_beside_a_bystander(spark):
+    assert links_of(spark, strangers_and_a_pair(1), [[100, 1], [100, 2], [100, 3]]) == {(1, 2)}
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark).selectExpr("*", "1 AS id", "2 AS class_id", "3 AS n")
     found = sorted((str(r.doc_id), str(r.class_id), r.n_rows) for r in N.classes(docs).collect())
