@@ -3,13 +3,11 @@
 1. Documents are reduced to word hashes; equal word sequences form one class by an aggregate, and only its least id
    goes on.
 2. A bucket holds the documents that agree in a sketch. In each bucket all members are aligned with the least one (a
-   star, never all pairs), and those within the threshold are linked. After that only pairs from different components
-   of the links count: a member of another component that is further off than twice the threshold from the least one
-   can't be linked to any of those (triangle inequality), and one in between is aligned with just those linked ones
-   that the inequality leaves open.
-3. Left-over members of several components are settled pair by pair if there are at most SMALL in their bucket; larger
-   ones are refined: their members are bucketed again by agreement in one more sketch, which true pairs share and texts
-   with a mere common passage don't.
+   star), and those within the threshold are linked. After that only pairs from different components of the links
+   count, as others join nothing new.
+3. In buckets that still hold several components, every pair from two of them is aligned, whatever the size of the
+   bucket: large ones are dealt over blocks of BLOCK members. Of two components one pair is tried first. The only pairs
+   that are left out are those that a lower bound of the edits (lengths, then bags of words) puts beyond the threshold.
 4. Classes are the connected components of all links, by least-id propagation with written rounds.
 
 Similarity is 1 - word edits / words of the longer text; two documents of a class are joined by links of at least
@@ -33,10 +31,9 @@ from . import order_minhash
 from .common import written
 
 SIMILARITY = 0.8
-#: Left-over members of a bucket that are settled pair by pair.
+#: Members of a bucket whose pairs come from a join; those of larger ones come from blocks of about BLOCK members each.
 SMALL = 16
-#: Refinements by one more sketch before large buckets are left to stars alone.
-DEPTH = 4
+BLOCK = 4096
 #: Sketches whose stars are aligned before all others.
 FIRST = 8
 
@@ -49,9 +46,8 @@ def word_hashes(text: Column) -> Column:
 
 
 def sketches(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """id, k1 and k2 (equal for equal word sequences), n (words) and sketch of every row."""
-    size = order_minhash.SKETCHES
-    schema = pa.schema([("id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+    """id, k1 and k2 (equal for equal word sequences), n (words), sketch and bag (of words) of every row."""
+    schema = pa.schema([("id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64())), ("bag", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -61,18 +57,68 @@ def sketches(docs: DataFrame, text: str, key: str) -> DataFrame:
                 hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes_all[lo:]), order_minhash.SLICE_WORDS)))
                 part = whole.slice(lo, hi - lo)
                 words = part.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                found = order_minhash.sketch(words, sizes_all[lo:hi])
-                rows = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * size, pa.array(found.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], rows], schema=schema)
+                found, counts = order_minhash.sketch_lists(words, sizes_all[lo:hi])
+                rows = pa.ListArray.from_arrays(np.append(0, np.cumsum(counts)).astype(np.int32), pa.array(found))
+                bags = pa.array([b.tobytes() for b in order_minhash.bags(words, sizes_all[lo:hi])], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], rows, bags], schema=schema)
                 lo = hi
 
     words = docs.select(F.col(key).cast("long").alias("id"), word_hashes(F.col(text)).alias("w"))
     rows = words.select("id", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), "w").alias("k2"), F.size("w").cast("long").alias("n"), "w")
-    return rows.mapInArrow(run, "id long, k1 long, k2 long, n long, sketch array<long>")
+    return rows.mapInArrow(run, "id long, k1 long, k2 long, n long, sketch array<long>, bag binary")
 
 
-def align(pairs: DataFrame, texts: DataFrame, wide: bool, similarity: float) -> DataFrame:
-    """a, b, edits (null beyond the band), na and nb. wide: instead of the edits a lower bound of them, up to twice the threshold."""
+def bag_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), order_minhash.BINS)
+
+
+def plausible(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that no lower bound of the edits puts beyond the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.maximum(batch.column(2).to_numpy(), batch.column(4).to_numpy())
+            near = order_minhash.bag_edits(bag_rows(batch.column(3)), bag_rows(batch.column(5))) <= (1 - similarity) * n + 1e-9
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    left = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bag").alias("ba"))
+    right = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bag").alias("bb"))
+    both = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)
+    return both.select("a", "b", "na", "ba", "nb", "bb").mapInArrow(run, "a long, b long")
+
+
+def block_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """a, b: the plausible pairs of different labels in the buckets of members (bucket, size, id, label, n, bag).
+
+    A bucket is cut into blocks by hash; each two blocks meet in a group of their own.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        g = group.combine_chunks()
+        of = lambda name: g.column(name).to_numpy()
+        ids, labels, n, bags = of("id"), of("label"), of("n"), bag_rows(g.column("bag"))
+        own, i, j = of("block"), of("i")[0], of("j")[0]
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        right = right[np.argsort(n[right], kind="stable")]
+        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for x in left:
+            lo, hi = np.searchsorted(n[right], [similarity * n[x] - 1e-9, n[x] / similarity + 1e-9])
+            other = right[lo : hi + 1]
+            other = other[(labels[other] != labels[x]) & ((ids[other] > ids[x]) if i == j else True)]
+            if len(other):
+                other = other[order_minhash.bag_edits(bags[x], bags[other]) <= (1 - similarity) * np.maximum(n[x], n[other]) + 1e-9]
+                a.append(np.minimum(ids[x], ids[other]))
+                b.append(np.maximum(ids[x], ids[other]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
+    rows = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return rows.select("bucket", "i", "j", "block", "id", "label", "n", "bag").groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def align(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """a, b, edits (null beyond the threshold), na and nb."""
     slack = 1 - similarity
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("edits", pa.int64()), ("na", pa.int64()), ("nb", pa.int64())])
 
@@ -82,11 +128,7 @@ def align(pairs: DataFrame, texts: DataFrame, wide: bool, similarity: float) ->
             left, right = batch.column(2), batch.column(3)
             for i in range(batch.num_rows):
                 x, y = (np.asarray(c[i].values.to_numpy(zero_copy_only=False), dtype=np.int64) for c in (left, right))
-                if wide:
-                    least = order_minhash.least_edits(x, y)
-                    edits.append(least if least <= far_edits(len(x), len(y), similarity) + 1e-9 else None)
-                else:
-                    edits.append(order_minhash.edit_distance(x, y, int(slack * max(len(x), len(y)) + 1e-9)))
+                edits.append(order_minhash.edit_distance(x, y, int(slack * max(len(x), len(y)) + 1e-9)))
                 na.append(len(x))
                 nb.append(len(y))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (edits, na, nb))], schema=schema)
@@ -97,18 +139,12 @@ def align(pairs: DataFrame, texts: DataFrame, wide: bool, similarity: float) ->
     return both.mapInArrow(run, "a long, b long, edits long, na long, nb long")
 
 
-def far_edits(n_leader: int, n: int, similarity: float) -> float:
-    """More edits from the leader than this: no link to anything that is linked to the leader."""
-    reach = n_leader / similarity  # words that a text linked to the leader has at most
-    return (1 - similarity) * reach + (1 - similarity) * max(n, reach)
-
-
 def is_link(similarity: float) -> Column:
     return F.col("edits").isNotNull() & (F.col("edits") <= (1 - similarity) * F.greatest("na", "nb") + 1e-9)
 
 
 def links(docs: DataFrame, reps: DataFrame, text: str, key: str, similarity: float) -> DataFrame:
-    """a, b: all verified links between representatives (id, k1, n, sketch)."""
+    """a, b: verified links between representatives (id, k1, n, sketch, bag); pairs that others join may be missing."""
     members = reps.select(F.posexplode("sketch").alias("place", "bucket"), "id")
     shared = members.groupBy("bucket").count().where("count > 1").select("bucket")
     members = written(members.join(shared, "bucket").select("bucket", "id", "place"), "members")
@@ -116,50 +152,35 @@ def links(docs: DataFrame, reps: DataFrame, text: str, key: str, similarity: flo
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(need, F.col("id") == F.col("need"))
     rows = rows.select("id", "k1", word_hashes(F.col("t")).alias("w")).where(F.xxhash64("w") == F.col("k1"))
     texts = written(rows.dropDuplicates(["id"]).select("id", "w"), "texts")
+    reps = reps.select("id", "n", "bag")
+
+    def aligned(pairs: DataFrame, label: str) -> DataFrame:
+        return written(align(pairs, texts, similarity), label)
 
     # The first sketches join most copies; after that a bucket counts only if it holds several components.
-    known = written(align(star_pairs(members.where(F.col("place") < FIRST)).select("a", "b").distinct(), texts, False, similarity), "known")
-    found, depth = [known.where(is_link(similarity)).select("a", "b")], 0
-    rows = labelled(members, components(all_of(found)), "id", "label")
-    members = written(members.join(mixed_buckets(rows), "bucket").select("bucket", "id", F.array("bucket").alias("used")), "mixed")
-    while True:
-        stars = star_pairs(members)
-        pairs = stars.select("a", "b").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-        new = written(align(pairs, texts, False, similarity), "stars")
-        known = written(known.unionByName(new), "known")
-        found.append(new.where(is_link(similarity)).select("a", "b"))
-        labels = components(all_of(found))
-        judged = stars.join(known, ["a", "b"]).withColumn("linked", is_link(similarity))
-        judged = written(labelled(labelled(judged, labels, "a", "la"), labels, "b", "lb"), "judged")
-        rest = judged.where(~F.col("linked")).select("bucket", F.col("b").alias("id"), "used", F.col("lb").alias("label"))
-        # Members of other components may be linked to those that are linked to the leader, unless the words they share
-        # with it are too few for that.
-        strangers = judged.where(~F.col("linked") & (F.col("la") != F.col("lb"))).select("bucket", "a", "b")
-        ring = written(strangers.join(align(strangers.select("a", "b").distinct(), texts, True, similarity).where("edits IS NOT NULL"), ["a", "b"]), "ring")
-        ring = ring.select("bucket", F.col("b").alias("x"), F.col("edits").alias("dx"), F.col("nb").alias("nx"))
-        held = judged.where("linked").select("bucket", F.col("b").alias("y"), F.col("edits").alias("dy"), F.col("nb").alias("ny"))
-        near = (F.col("dx") - F.col("dy") <= (1 - similarity) * F.greatest("nx", "ny") + 1e-9) & (F.least("nx", "ny") >= similarity * F.greatest("nx", "ny") - 1e-9)
-        open_pairs = ring.join(held, "bucket").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        # What is left over is settled among itself, but for buckets of one component: links there join nothing new.
-        sizes = rest.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("first"), F.max("label").alias("last")).where("first != last")
-        rest = written(rest.join(sizes.select("bucket", "size"), "bucket"), "rest")
-        small = rest.where(F.col("size") <= SMALL)
-        close = small.select("bucket", F.col("id").alias("a"), F.col("label").alias("la")).join(small.select("bucket", F.col("id").alias("b"), F.col("label").alias("lb")), "bucket")
-        close = close.where("a < b AND la != lb").select("a", "b")
-        extra = written(align(open_pairs.unionByName(close).distinct(), texts, False, similarity), "extra")
-        found.append(extra.where(is_link(similarity)).select("a", "b"))
-        members = rest.where(F.col("size") > SMALL).select("bucket", "id", "used", "label")
-        if members.isEmpty():
-            break
-        if depth < DEPTH:  # bucket anew by one more sketch, whatever the order in which the sketches came
-            more = members.join(reps.select("id", "sketch"), "id").select("id", "used", "label", F.explode("sketch").alias("s"))
-            more = more.where(~F.array_contains("used", F.col("s"))).select("id", "label", F.sort_array(F.concat("used", F.array("s"))).alias("used"))
-            finer = written(more.select(F.xxhash64("used").alias("bucket"), "id", "used", "label").dropDuplicates(["bucket", "id"]), "finer")
-            members = written(finer.join(mixed_buckets(finer), "bucket").select("bucket", "id", "used"), "members")
-            if members.isEmpty():
-                break
-        depth += 1
-    return written(all_of(found).distinct(), "links")
+    first = star_pairs(members.where(F.col("place") < FIRST)).select("a", "b").distinct()
+    known = aligned(plausible(first, reps, similarity), "first")
+    rows = labelled(members.select("bucket", "id"), components(known.where(is_link(similarity))), "id", "label")
+    members = written(rows.join(mixed_buckets(rows), "bucket").select("bucket", "id"), "mixed")
+    stars = star_pairs(members).select("a", "b").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+    known = written(known.unionByName(aligned(plausible(stars, reps, similarity), "stars")), "known")
+
+    # What still is in different components of a bucket is settled pair by pair.
+    labels = components(known.where(is_link(similarity)))
+    rows = labelled(members, labels, "id", "label")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("first"), F.max("label").alias("last")).where("first != last")
+    rest = written(rows.join(sizes.select("bucket", "size"), "bucket"), "rest")
+    small = rest.where(F.col("size") <= SMALL).select("bucket", "id", "label")
+    close = small.toDF("bucket", "a", "la").join(small.toDF("bucket", "b", "lb"), "bucket").where("a < b AND la != lb").select("a", "b").distinct()
+    large = block_pairs(rest.where(F.col("size") > SMALL).join(reps, "id"), similarity)
+    open_pairs = plausible(close, reps, similarity).unionByName(large).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+    open_pairs = written(labelled(labelled(open_pairs, labels, "a", "la"), labels, "b", "lb"), "open")
+    tried = open_pairs.groupBy(F.least("la", "lb"), F.greatest("la", "lb")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+    known = written(known.unionByName(aligned(tried, "tried")), "known")
+    labels = components(known.where(is_link(similarity)))
+    left = open_pairs.select("a", "b").join(known.select("a", "b"), ["a", "b"], "left_anti")
+    left = labelled(labelled(left, labels, "a", "la"), labels, "b", "lb").where("la != lb")
+    return known.unionByName(aligned(left.select("a", "b"), "settled")).where(is_link(similarity)).select("a", "b")
 
 
 def star_pairs(members: DataFrame) -> DataFrame:
@@ -173,13 +194,6 @@ def mixed_buckets(members: DataFrame) -> DataFrame:
     return members.groupBy("bucket").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first != last").select("bucket")
 
 
-def all_of(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def labelled(rows: DataFrame, labels: DataFrame, key: str, name: str) -> DataFrame:
     """rows and the component of the id in key; an id without links is its own."""
     own = labels.select(F.col("id").alias("__id"), F.col("label").alias("__label"))
@@ -209,7 +223,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text",
     mine = written(some.join(least, ["k1", "k2"]).select("id", "rep").distinct(), "exact")
     one = least.groupBy("rep").agg(F.min(F.struct("k1", "k2")).alias("k")).select("rep", F.col("k.k1").alias("r1"), F.col("k.k2").alias("r2"))
     reps = some.join(one, (F.col("id") == F.col("rep")) & (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")), "left_semi")
-    reps = written(reps.dropDuplicates(["id"]).select("id", "k1", "n", "sketch"), "reps")
+    reps = written(reps.dropDuplicates(["id"]).select("id", "k1", "n", "sketch", "bag"), "reps")
     first = mine.groupBy("id").agg(F.min("rep").alias("a"), F.count("*").alias("texts"))
     several = mine.join(first.where("texts > 1"), "id").select("a", F.col("rep").alias("b")).where("a != b")
     labels = components(links(docs, reps, text, key, similarity).unionByName(several))

@@ -12,7 +12,10 @@ import numpy as np
 SHINGLE = 5
 KEPT = 5
 SKETCHES = 32
+SHORT, LONG, SHORT_SKETCHES = 0, 1, 24
 SLICE_WORDS = 400_000
+#: Bins of a bag of words.
+BINS = 64
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
@@ -24,7 +27,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(words: np.ndarray, sizes: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def shingles(words: np.ndarray, sizes: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all documents' shingles end to end, labelled by occurrence, and how many each has.
 
     A document of fewer than width words, but not none, is one shingle.
@@ -52,9 +55,9 @@ def shingles(words: np.ndarray, sizes: np.ndarray, width: int = SHINGLE) -> tupl
     return mix(rolled + label * _B), np.bincount(doc, minlength=len(sizes)).astype(np.int64)
 
 
-def sketch(words: np.ndarray, sizes: np.ndarray, sketches: int = SKETCHES, kept: int = KEPT) -> np.ndarray:
+def sketch(words: np.ndarray, sizes: np.ndarray, sketches: int = SKETCHES, kept: int = KEPT, width: int = SHINGLE) -> np.ndarray:
     """A row of sketches (int64) for each document; of documents without words the row means nothing."""
-    labelled, counts = shingles(words, sizes)
+    labelled, counts = shingles(words, sizes, width)
     out = np.zeros((len(sizes), sketches), dtype=np.uint64)
     if not len(labelled):
         return out.view(np.int64)
@@ -84,11 +87,30 @@ def sketch(words: np.ndarray, sizes: np.ndarray, sketches: int = SKETCHES, kept:
     return out.view(np.int64)
 
 
-def least_edits(a: np.ndarray, b: np.ndarray) -> int:
-    """A lower bound of the word edits: words of the longer text that the shorter one has no equal for."""
-    both, sign = np.unique(np.concatenate([a, b]), return_inverse=True)
-    common = np.minimum(np.bincount(sign[: len(a)], minlength=len(both)), np.bincount(sign[len(a) :], minlength=len(both)))
-    return max(len(a), len(b)) - int(common.sum())
+def sketch_lists(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sketches of all documents end to end, and how many each has."""
+    long, short = sizes >= LONG, (sizes > 0) & (sizes <= SHORT)
+    counts = long * SKETCHES + short * SHORT_SKETCHES
+    starts, out = np.cumsum(counts) - counts, np.zeros(counts.sum(), dtype=np.int64)
+    for chosen, after, n, kept in ((long, 0, SKETCHES, KEPT), (short, long * SKETCHES, SHORT_SKETCHES, 1)):
+        if chosen.any():
+            found = sketch(words[np.repeat(chosen, sizes)], sizes[chosen], n, kept)
+            out[(starts + after)[chosen][:, None] + np.arange(n)] = found
+    return out, counts
+
+
+def bags(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many words of each document fall into each of BINS bins, 255 at most."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    place = doc * BINS + (mix(words.astype(np.uint64)) % np.uint64(BINS)).astype(np.int64)
+    return np.minimum(np.bincount(place, minlength=len(sizes) * BINS), 255).astype(np.uint8).reshape(len(sizes), BINS)
+
+
+def bag_edits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A lower bound of the word edits between texts by their bags: an edit moves a word from one bin to another, adds
+    or removes one."""
+    common = np.minimum(x, y).sum(axis=-1, dtype=np.int64)
+    return np.maximum(x.sum(axis=-1, dtype=np.int64), y.sum(axis=-1, dtype=np.int64)) - common
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:

@@ -112,6 +112,22 @@ def test_one_common_sketch_is_enough_beside_a_bystander(spark):
     assert links_of(spark, strangers_and_a_pair(1), [[100, 1], [100, 2], [100, 3]]) == {(1, 2)}
 
 
+def test_the_bag_bound_is_never_above_the_edits():
+    rnd = random.Random(3)
+    for _ in range(300):
+        vocabulary = list(range(rnd.choice([2, 30, 500])))
+        a = [rnd.choice(vocabulary) for _ in range(rnd.choice([5, 30, 700]))]
+        b = edited(rnd, a, d := rnd.randint(0, 8), vocabulary)
+        x, y = O.bags(np.array(a + b, dtype=np.int64), np.array([len(a), len(b)]))
+        assert O.bag_edits(x, y) <= d
+
+
+def test_one_common_sketch_is_enough_in_a_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 8, raising=False)
+    texts = strangers_and_a_pair(30)
+    assert links_of(spark, texts, [[100, i] for i in range(len(texts))]) == {(30, 31)}
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark).selectExpr("*", "1 AS id", "2 AS class_id", "3 AS n")
     found = sorted((str(r.doc_id), str(r.class_id), r.n_rows) for r in N.classes(docs).collect())
