@@ -112,6 +112,20 @@ def test_one_common_sketch_is_enough_beside_a_bystander(spark):
     assert links_of(spark, strangers_and_a_pair(1), [[100, 1], [100, 2], [100, 3]]) == {(1, 2)}
 
 
+def test_texts_at_the_threshold_share_a_sketch():
+    rnd = random.Random(8)
+    for size, share in [(8, 0.125), (12, 0.09), (20, 0.2), (38, 0.2), (60, 0.1), (200, 0.05), (200, 0.1), (200, 0.15), (200, 0.2)]:
+        found = 0
+        for _ in range(60):
+            a = [rnd.randrange(2**40) for _ in range(size)]
+            b = list(a)
+            for i in rnd.sample(range(size), int(share * size)):
+                b[i] = rnd.randrange(2**40)
+            rows, counts = O.sketch_lists(np.array(a + b, dtype=np.int64), np.array([size, size]))
+            found += bool(set(rows[: counts[0]].tolist()) & set(rows[counts[0] :].tolist()))
+        assert found >= 59, (size, share, found)
+
+
 def test_the_bag_bound_is_never_above_the_edits():
     rnd = random.Random(3)
     for _ in range(300):
