@@ -2,8 +2,8 @@
 
 1. *Lexicon.* Over all labelled training rows, terms (words, and stems: what words begin with) are counted once for each
    document that has them, and the terms that toxic documents have much oftener than others are kept, at most
-   ``MAX_TERMS`` of them. Of training rows with (nearly) the same text one counts, so that groups of copies don't put
-   their own words in the lexicon.
+   ``MAX_TERMS`` of them. Of training rows with the same words one counts, and of near copies those that differ in one
+   of ``MINIMA`` least hashes, so that groups of copies don't put their own words in the lexicon.
 2. *Matches.* The lexicon is a trie. A word that has no exact match is run through a Levenshtein automaton, state by
    state beside the trie, so only branches that can still end within the allowed edits are entered.
 3. *Context windows.* A match with quotation marks on both sides nearby is a quotation, and a match with others around
@@ -21,6 +21,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -44,6 +45,9 @@ RATIO = 5
 #: Tokens around a match in which quotation marks make it a quotation, and tokens of a window of abuse.
 QUOTE_REACH = 12
 WINDOW = 60
+#: Multipliers of the independent least hashes that copies agree in, and words of texts that must be equal instead.
+MINIMA = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint64)
+SHORT_TEXT = 20
 FEATURES = 7
 TOXIC_AT = 0.7
 COUNTER_WORDS = 400_000
@@ -204,14 +208,27 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str, key: str, label
     return docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(known, "__key")
 
 
+def signature(text: str | None) -> int:
+    """Equal for equal words, and often for near copies: the least hashes of the pairs of neighbouring words under
+    several orders. Short texts have a hash of all their words."""
+    words = tokens_of(text)
+    if len(words) < SHORT_TEXT:
+        said = " ".join(words).encode()
+    else:
+        h = np.array([zlib.crc32(f"{a} {b}".encode()) for a, b in set(zip(words, words[1:], strict=False))], dtype=np.uint64)
+        least = []
+        for m in MINIMA:
+            x = (h * m) & np.uint64(0xFFFFFFFF)
+            x = ((x ^ (x >> np.uint64(15))) * m) & np.uint64(0xFFFFFFFF)
+            least.append(x.min())
+        said = np.array(least).tobytes()
+    return int.from_bytes(hashlib.blake2b(said, digest_size=8).digest(), "little", signed=True)
+
+
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The smallest hash of the pairs of neighbouring words: mostly equal for near copies."""
     for batch in batches:
-        out = []
-        for text in batch.column(1).to_pylist():
-            words = tokens_of(text)
-            out.append(min((zlib.crc32(f"{a} {b}".encode()) for a, b in set(zip(words, words[1:], strict=False))), default=-1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64()), batch.column(2)], names=["__key", "sign", "__toxic"])
+        sign = pa.array([signature(t) for t in batch.column(1).to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), sign, *batch.columns[2:]], names=["__key", "sign", "__toxic", "__tx"])
 
 
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,9 +275,10 @@ def choose_terms(rows: list[tuple[str, bool, float, float]], least: float) -> li
 
 
 def learn_lexicon(train: DataFrame) -> Lexicon:
-    rows = train.mapInArrow(signatures, f"__key {train.schema['__key'].dataType.simpleString()}, sign long, __toxic int")
-    chosen = rows.groupBy("sign", "__toxic").agg(F.min("__key").alias("__rep")).select("__rep")
-    texts = train.join(chosen, F.col("__key") == F.col("__rep"), "left_semi").dropDuplicates(["__key"]).select("__text", "__toxic")
+    train = train.withColumn("__tx", F.xxhash64("__text"))
+    rows = train.mapInArrow(signatures, f"__key {train.schema['__key'].dataType.simpleString()}, sign long, __toxic int, __tx long")
+    chosen = rows.groupBy("sign", "__toxic").agg(F.min(F.struct("__key", "__tx")).alias("r")).select("r.__key", "r.__tx")
+    texts = train.join(chosen, ["__key", "__tx"], "left_semi").dropDuplicates(["__key", "__tx"]).select("__text", "__toxic")
     words = texts.mapInArrow(word_counts, "word string, n long, toxic int").groupBy("word").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c")
     )

@@ -69,6 +69,14 @@ def rows_of(seed, n=900):
         yield i, " ".join(words), toxic
 
 
+def test_distinct_texts_with_a_common_pair_of_words_all_count():
+    rnd = random.Random(6)
+    low = min(("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(20000)), key=lambda w: zlib.crc32(f"{w} zz".encode()))
+    texts = [" ".join([low, "zz", *("".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(40))]) for _ in range(50)]
+    assert len({T.signature(t) for t in texts}) == 50
+    assert T.signature(texts[0].upper() + " !") == T.signature(texts[0])
+
+
 def test_held_out_accuracy(spark):
     rows = list(rows_of(4))
     docs = documents(spark, [t for _, t, _ in rows])
