@@ -10,7 +10,7 @@ from motionlake.llm import byte_bpe, common, decontaminate, line_dedup, line_qua
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, and frequent lines of the others; n_chars follows the text."""
     return line_quality.keep_good(docs)
 
 

@@ -6,7 +6,8 @@ line or host that holds a third of all rows never meets in one task.
 
 Edge cases: null text counts as empty (no words, rejected); a null host is a host of its own; repeated rows each get
 the same verdict; exact copies of a text count as one document in a line's frequency; an empty table gives no rows.
-Extra columns are ignored by ``quality_verdicts`` and passed on untouched by ``keep_good``.
+Extra columns are ignored by ``quality_verdicts`` and passed on untouched by ``keep_good``, which takes frequent lines out
+of the texts that stay (blank lines are kept) and brings n_chars, where there is such a column, in line.
 """
 
 from __future__ import annotations
@@ -100,10 +101,14 @@ def row_key(text: str, host: str, key: str) -> Column:
     return F.struct(F.xxhash64(*c).alias("a"), F.hash(*c).alias("b"))
 
 
+def frequent_lines(docs: DataFrame, rules: LineRules, text: str, host: str) -> DataFrame:
+    counts = line_counts(docs, text, host)
+    return counts.where((F.col("n_docs") > rules.max_docs) & (F.col("n_docs") > rules.max_host_share * F.col("host_docs"))).select("__h")
+
+
 def quality_verdicts(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
     """key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words, kept and __rk."""
-    counts = line_counts(docs, text, host)
-    frequent = counts.where((F.col("n_docs") > rules.max_docs) & (F.col("n_docs") > rules.max_host_share * F.col("host_docs"))).select("__h")
+    frequent = frequent_lines(docs, rules, text, host)
     rk = row_key(text, host, key)
     removed = (
         line_rows(docs, text, host, {"__rk": rk})
@@ -132,6 +137,17 @@ def quality_verdicts(docs: DataFrame, rules: LineRules = LineRules(), text: str
 
 
 def keep_good(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
-    """The documents that no rule rejects, with all their columns."""
+    """The documents that no rule rejects, without their frequent lines, with all their columns."""
+    rk = row_key(text, host, key)
     bad = quality_verdicts(docs, rules, text, host, key).where(~F.col("kept")).select(F.col("__rk").alias("__bad")).distinct()
-    return docs.withColumn("__rk", row_key(text, host, key)).join(bad, F.col("__rk") == F.col("__bad"), "left_anti").drop("__rk")
+    drop = line_rows(docs, text, host, {"__rk2": rk}).select("__rk2", "__h").join(frequent_lines(docs, rules, text, host), "__h")
+    drop = drop.groupBy("__rk2").agg(F.collect_set("__h").alias("__drop"))
+    good = docs.withColumn("__rk", rk).join(bad, F.col("__rk") == F.col("__bad"), "left_anti")
+    good = good.join(drop, F.col("__rk") == F.col("__rk2"), "left")
+    gone = lambda s: (F.length(F.translate(s, SPACE_CHARS, "")) > 0) & F.array_contains("__drop", F.xxhash64(F.col(host), normal_line(s)))
+    clean = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda s: ~gone(s)), "\n")
+    good = good.withColumn("__clean", F.when(F.col("__drop").isNull(), F.col(text)).otherwise(clean))
+    new = {text: F.col("__clean")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("__drop").isNull(), F.col("n_chars")).otherwise(F.length("__clean")).cast(docs.schema["n_chars"].dataType)
+    return good.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])

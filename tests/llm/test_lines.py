@@ -33,6 +33,14 @@ def test_depleted_documents_go(spark):
     assert rows[0].removed_words == 60 and not rows[0].base_failed
 
 
+def test_frequent_lines_leave_the_texts_that_stay(spark):
+    own = [" ".join(f"x{i}y{k}" for k in range(60)) for i in range(13)]
+    texts = [f"Menu  |  Home\n\n{t}" for t in own[:12]] + [own[12]]
+    kept = {r.doc_id: r for r in L.keep_good(documents(spark, texts)).collect()}
+    assert {i: r.text for i, r in kept.items()} == {i: f"\n{t}" if i < 12 else t for i, t in enumerate(own)}
+    assert all(r.n_chars == len(r.text) for r in kept.values())
+
+
 def test_boilerplate_goes_and_copies_do_not_count(spark):
     texts = [f"Menu  |  Home\nthe text of page {i}\n\nmenu | home" for i in range(6)] + ["a page\nof its own"] * 9
     out = {r.doc_id: r for r in D.clean_documents(documents(spark, texts)).collect()}
