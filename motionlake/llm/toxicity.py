@@ -4,7 +4,7 @@
    document that has them, and the terms that toxic documents have much oftener than others are kept, at most
    ``MAX_TERMS`` of them. Of training rows with the same words one counts, and of near copies those that differ in one
    of ``MINIMA`` least hashes, so that groups of copies don't put their own words in the lexicon.
-2. *Matches.* The lexicon is a trie. A word that has no exact match is run through a Levenshtein automaton, state by
+2. *Matches.* The lexicon is a trie, and holds the words that stems stand for as well, so their misspellings match too. A word that has no exact match is run through a Levenshtein automaton, state by
    state beside the trie, so only branches that can still end within the allowed edits are entered.
 3. *Context windows.* A match with quotation marks on both sides nearby is a quotation, and a match with others around
    it is abuse: the features keep quoted and unquoted weight apart, as a total, a share and the densest window.
@@ -67,13 +67,14 @@ def edits_for(length: int) -> int:
 
 
 class Lexicon:
-    """Words and stems with weights, as a trie: node -> letter -> node."""
+    """Words and stems with weights; words and those that stems cover as a trie: node -> letter -> node."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float]):
+    def __init__(self, words: dict[str, float], stems: dict[str, float], covered: dict[str, float] | None = None):
         self.words, self.stems = words, stems
+        self.terms = {**(covered or {}), **words}
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[str | None] = [None]
-        for w in words:
+        for w in self.terms:
             node = 0
             for c in w:
                 node = self.children[node].setdefault(c, len(self.children))
@@ -83,7 +84,7 @@ class Lexicon:
             self.ends[node] = w
         # A misspelled term keeps one of edits + 1 pieces of it whole: the first, the last, or (two edits) the middle one.
         self.pieces: dict[int, tuple[int, int, set, set, set]] = {}
-        for w in words:
+        for w in self.terms:
             if edits := edits_for(len(w)):
                 n = len(w) // (edits + 1)
                 piece = self.pieces.setdefault(len(w), (n, len(w) - n * edits, set(), set(), set()))
@@ -133,7 +134,7 @@ class Lexicon:
             if len(word) > n and (weight := self.stems.get(word[:n], 0.0)):
                 return weight, False
         if self.may_match(word) and (term := self.misspelled(word)):
-            return self.words[term], True
+            return self.terms[term], True
         return 0.0, False
 
 
@@ -274,6 +275,11 @@ def choose_terms(rows: list[tuple[str, bool, float, float]], least: float) -> li
     return kept
 
 
+def covered_words(rows: list[tuple[str, bool, float, float]], stems: dict[str, float]) -> dict[str, float]:
+    """Weights of the words that stems stand for."""
+    return {t: w for t, stem, _, w in rows if not stem and any(t[:n] in stems for n in range(STEM[0], min(STEM[1], len(t) - 1) + 1))}
+
+
 def learn_lexicon(train: DataFrame) -> Lexicon:
     train = train.withColumn("__tx", F.xxhash64("__text"))
     rows = train.mapInArrow(signatures, f"__key {train.schema['__key'].dataType.simpleString()}, sign long, __toxic int, __tx long")
@@ -296,7 +302,8 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     )
     best = [tuple(r) for r in scored.orderBy(F.desc("gain"), "term", "stem").limit(8 * MAX_TERMS).collect()]
     chosen_terms = choose_terms(best, 2 * math.log(max(2, distinct)))
-    return Lexicon({t: w for t, stem, w in chosen_terms if not stem}, {t: w for t, stem, w in chosen_terms if stem})
+    stems = {t: w for t, stem, w in chosen_terms if stem}
+    return Lexicon({t: w for t, stem, w in chosen_terms if not stem}, stems, covered_words(best, stems))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, model: Model) -> Model:

@@ -56,6 +56,14 @@ def test_misspelled_and_quoted_terms():
     assert reader.features(None) == reader.features("") == [0.0] * T.FEATURES
 
 
+def test_misspelled_words_of_a_stem():
+    rows = [("moron", True, 90.0, 4.0), *((f"moron{e}", False, 30.0, 3.0) for e in ("ic", "ish", "s"))]
+    stems = {t: w for t, stem, w in T.choose_terms(rows, 5.0) if stem}
+    assert stems == {"moron": 4.0}
+    lexicon = T.Lexicon({}, stems, T.covered_words(rows, stems))
+    assert lexicon.match("moronic") == (4.0, False) and lexicon.match("mqronic") == (3.0, True)
+
+
 def rows_of(seed, n=900):
     rnd = random.Random(seed)
     vocabulary = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8))) for _ in range(400)]
