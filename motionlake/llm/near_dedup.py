@@ -36,6 +36,8 @@ SMALL = 16
 BLOCK = 4096
 #: Sketches whose stars are aligned before all others.
 FIRST = 8
+#: Bins that the bags of words are folded to for a first look.
+COARSE_BINS = 64
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -100,13 +102,15 @@ def block_pairs(members: DataFrame, similarity: float) -> DataFrame:
         own, i, j = of("block"), of("i")[0], of("j")[0]
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         right = right[np.argsort(n[right], kind="stable")]
+        coarse = bags.reshape(len(bags), -1, order_minhash.BINS // COARSE_BINS).sum(axis=2, dtype=np.int32)
         a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for x in left:
             lo, hi = np.searchsorted(n[right], [similarity * n[x] - 1e-9, n[x] / similarity + 1e-9])
             other = right[lo : hi + 1]
             other = other[(labels[other] != labels[x]) & ((ids[other] > ids[x]) if i == j else True)]
+            for kind in (coarse, bags):  # most pairs fall to the cheaper bound
+                other = other[order_minhash.bag_edits(kind[x], kind[other]) <= (1 - similarity) * np.maximum(n[x], n[other]) + 1e-9]
             if len(other):
-                other = other[order_minhash.bag_edits(bags[x], bags[other]) <= (1 - similarity) * np.maximum(n[x], n[other]) + 1e-9]
                 a.append(np.minimum(ids[x], ids[other]))
                 b.append(np.maximum(ids[x], ids[other]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
@@ -143,8 +147,9 @@ def is_link(similarity: float) -> Column:
     return F.col("edits").isNotNull() & (F.col("edits") <= (1 - similarity) * F.greatest("na", "nb") + 1e-9)
 
 
-def links(docs: DataFrame, reps: DataFrame, text: str, key: str, similarity: float) -> DataFrame:
-    """a, b: verified links between representatives (id, k1, n, sketch, bag); pairs that others join may be missing."""
+def linked(docs: DataFrame, reps: DataFrame, text: str, key: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Of representatives (id, k1, n, sketch, bag): a, b, the verified links; pairs that others join may be missing. And
+    id, label: the components of the links."""
     members = reps.select(F.posexplode("sketch").alias("place", "bucket"), "id")
     shared = members.groupBy("bucket").count().where("count > 1").select("bucket")
     members = written(members.join(shared, "bucket").select("bucket", "id", "place"), "members")
@@ -157,36 +162,39 @@ def links(docs: DataFrame, reps: DataFrame, text: str, key: str, similarity: flo
     def aligned(pairs: DataFrame, label: str) -> DataFrame:
         return written(align(pairs, texts, similarity), label)
 
+    def untried(pairs: DataFrame) -> DataFrame:
+        return pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+
     # The first sketches join most copies; after that a bucket counts only if it holds several components.
-    first = star_pairs(members.where(F.col("place") < FIRST)).select("a", "b").distinct()
+    first = star_pairs(members.where(F.col("place") < FIRST).withColumn("label", F.col("id"))).distinct()
     known = aligned(plausible(first, reps, similarity), "first")
-    rows = labelled(members.select("bucket", "id"), components(known.where(is_link(similarity))), "id", "label")
-    members = written(rows.join(mixed_buckets(rows), "bucket").select("bucket", "id"), "mixed")
-    stars = star_pairs(members).select("a", "b").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-    known = written(known.unionByName(aligned(plausible(stars, reps, similarity), "stars")), "known")
+    labels = components(known.where(is_link(similarity)))
+    rows = labelled(members.select("bucket", "id"), labels, "id", "label")
+    members = written(rows.join(mixed_buckets(rows), "bucket").select("bucket", "id", "label"), "mixed")
+    stars = aligned(plausible(untried(star_pairs(members).distinct()), reps, similarity), "stars")
+    known, labels = written(known.unionByName(stars), "known"), merged(labels, stars.where(is_link(similarity)))
 
     # What still is in different components of a bucket is settled pair by pair.
-    labels = components(known.where(is_link(similarity)))
-    rows = labelled(members, labels, "id", "label")
+    rows = labelled(members.select("bucket", "id"), labels, "id", "label")
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("first"), F.max("label").alias("last")).where("first != last")
     rest = written(rows.join(sizes.select("bucket", "size"), "bucket"), "rest")
     small = rest.where(F.col("size") <= SMALL).select("bucket", "id", "label")
     close = small.toDF("bucket", "a", "la").join(small.toDF("bucket", "b", "lb"), "bucket").where("a < b AND la != lb").select("a", "b").distinct()
     large = block_pairs(rest.where(F.col("size") > SMALL).join(reps, "id"), similarity)
-    open_pairs = plausible(close, reps, similarity).unionByName(large).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+    open_pairs = untried(plausible(close, reps, similarity).unionByName(large).distinct())
     open_pairs = written(labelled(labelled(open_pairs, labels, "a", "la"), labels, "b", "lb"), "open")
     tried = open_pairs.groupBy(F.least("la", "lb"), F.greatest("la", "lb")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-    known = written(known.unionByName(aligned(tried, "tried")), "known")
-    labels = components(known.where(is_link(similarity)))
-    left = open_pairs.select("a", "b").join(known.select("a", "b"), ["a", "b"], "left_anti")
-    left = labelled(labelled(left, labels, "a", "la"), labels, "b", "lb").where("la != lb")
-    return known.unionByName(aligned(left.select("a", "b"), "settled")).where(is_link(similarity)).select("a", "b")
+    tried = aligned(tried, "tried")
+    known, labels = written(known.unionByName(tried), "known"), merged(labels, tried.where(is_link(similarity)))
+    left = labelled(labelled(untried(open_pairs.select("a", "b")), labels, "a", "la"), labels, "b", "lb").where("la != lb")
+    settled = aligned(left.select("a", "b"), "settled")
+    return known.unionByName(settled).where(is_link(similarity)).select("a", "b"), merged(labels, settled.where(is_link(similarity)))
 
 
 def star_pairs(members: DataFrame) -> DataFrame:
-    """members with a, the least id of the bucket, and b, the own one; without the least one itself."""
-    leaders = members.groupBy("bucket").agg(F.min("id").alias("a"))
-    return members.join(leaders, "bucket").where(F.col("id") != F.col("a")).withColumnRenamed("id", "b")
+    """a, b: the least id of each bucket and the other ids, of members (bucket, id, label), that have another label."""
+    leaders = members.groupBy("bucket").agg(F.min(F.struct("id", "label")).alias("l"))
+    return members.join(leaders, "bucket").where(F.col("label") != F.col("l.label")).select(F.col("l.id").alias("a"), F.col("id").alias("b"))
 
 
 def mixed_buckets(members: DataFrame) -> DataFrame:
@@ -215,6 +223,15 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels (id, label) once the edges (a, b) are in: only the components that they join are looked at again."""
+    new = labelled(labelled(edges.select("a", "b"), labels, "a", "la"), labels, "b", "lb").where("la != lb")
+    more = components(new.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    moved = labels.join(more.select(F.col("id").alias("__from"), F.col("label").alias("__to")), F.col("label") == F.col("__from"), "left")
+    alone = more.join(labels.select("id"), "id", "left_anti")
+    return written(moved.select("id", F.coalesce("__to", "label").alias("label")).unionByName(alone), "labels")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
     """A row for each row of docs: key, class_id (null without a key), n_words and n_rows (rows that have the key)."""
     rows = written(sketches(docs, text, key), "sketches")
@@ -226,7 +243,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text",
     reps = written(reps.dropDuplicates(["id"]).select("id", "k1", "n", "sketch", "bag"), "reps")
     first = mine.groupBy("id").agg(F.min("rep").alias("a"), F.count("*").alias("texts"))
     several = mine.join(first.where("texts > 1"), "id").select("a", F.col("rep").alias("b")).where("a != b")
-    labels = components(links(docs, reps, text, key, similarity).unionByName(several))
+    labels = merged(linked(docs, reps, text, key, similarity)[1], several)
     label_of = first.join(labels.select(F.col("id").alias("a"), "label"), "a", "left").select(F.col("id").alias("lid"), F.coalesce("label", "a").alias("label"))
     counts = rows.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("cid")).agg(F.count("*").alias("n_rows"))
     named = rows.select("id", "n").join(label_of, F.col("id") == F.col("lid"), "left").join(counts, F.col("id") == F.col("cid"), "left")
