@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 #: One clip's constants: 800 x 600 pixels (a diagonal of 1000), 30 frames at 6 a second.
 WIDTH, HEIGHT, N_FRAMES, FPS = 800, 600, 30, 6.0
+#: Tracks of a clip: clips get more with the data, not larger.
+CLIP_USERS = 10
+#: Rows of a contact series.
+CONTACT_ROWS = 50
 
 #: Where each keypoint of a person stands in its box: shares of width and height.
 LAYOUT = {
@@ -24,12 +28,12 @@ def props_k() -> Column:
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes: a track is a user, a frame a day."""
+    """Boxes: a track is a user, a frame a day, a clip CLIP_USERS users."""
     events = table(spark, sf_dir, "events")
     day = F.datediff(F.to_date("ts"), F.to_date(F.lit("2024-01-01"))).cast("long")
     return (
         events.groupBy(
-            (F.col("user_id") % 5).alias("episode_id"), (F.col("user_id") % 3 == 0).alias("is_person"), F.col("user_id").alias("track_id"), day.alias("frame")
+            F.floor(F.col("user_id") / CLIP_USERS).cast("long").alias("episode_id"), (F.col("user_id") % 3 == 0).alias("is_person"), F.col("user_id").alias("track_id"), day.alias("frame")
         )
         .agg(
             F.min("value").alias("x1"),
@@ -81,9 +85,9 @@ def quaternions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances of a hand to an object: a series by vec_id for each label."""
+    """Distances of a hand to an object: a series of CONTACT_ROWS rows for each object."""
     return table(spark, sf_dir, "embeddings").select(
-        F.col("label").cast("long").alias("object_id"), F.col("vec_id").alias("frame"), (F.abs(F.col("embedding")[0].cast("double")) / 10).alias("distance")
+        F.floor(F.col("vec_id") / CONTACT_ROWS).cast("long").alias("object_id"), F.col("vec_id").alias("frame"), (F.abs(F.col("embedding")[0].cast("double")) / 10).alias("distance")
     )
 
 
@@ -111,7 +115,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Stage of an episode by the number of an order's line.
-LINE_STAGES = ["ingest", "geometry", "body", "hands", "objects", "label", "package"]
+LINE_STAGES = ["ingest", "geometry", "human_body", "hands", "objects", "semantics", "package"]
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What a log message says of its agent, first match first, and the agent of any other message.
+# What a log message says of its agent, first match first in any case of letters, and the agent of any other message.
 AGENTS = [
-    ("scenario|contract", "scenario"),
-    ("generat|render", "generator"),
-    ("verif|gate|physics", "verifier"),
-    ("label|annotat", "labeler"),
-    ("export|dataset", "exporter"),
-    ("batch|queue", "orchestrator"),
+    ("Parsing intent", "intent"),
+    ("Building world contract", "contract"),
+    ("Planning .* scenario", "scenarios"),
+    ("repair|violate|dropping .* scenario", "validator"),
+    ("Compiling prompts", "compiler"),
+    ("Generating canvas|start frame|Visual anchors", "canvas"),
 ]
-OTHER_AGENT = "system"
-
-# Words of a prompt and the skill they stand for; the last skill stands for none of them.
-SKILL_WORDS = {"pick": "grasp", "grab": "grasp", "take": "grasp", "lift": "lift", "raise": "lift", "put": "place", "place": "place", "reach": "reach", "push": "push", "walk": "walk"}
+OTHER_AGENT = "pipeline"
+
+# Words of a prompt and the skill they stand for, and the skill where there is no vocabulary at all.
+SKILL_WORDS = {
+    "pick": "grasp", "picking": "grasp", "grab": "grasp", "grasp": "grasp",
+    "lift": "lift", "lower": "lower", "place": "place", "put": "place",
+    "push": "push", "pull": "pull", "open": "open", "close": "close",
+    "pour": "pour", "wave": "reach", "waves": "reach", "reach": "reach",
+    "walk": "walk", "walking": "walk", "turn": "turn", "rotate": "rotate",
+    "press": "press", "wipe": "wipe", "cut": "cut", "fold": "fold",
+    "hold": "hold", "insert": "insert", "remove": "remove", "release": "release",
+}
 NO_SKILL = "idle"
 
 
@@ -38,7 +46,7 @@ def safe_filename(name: Column) -> Column:
 def titleize(value: Column) -> Column:
     """A scenario's id without its number; underscores as spaces, the first letter in upper case."""
     s = F.trim(F.regexp_replace(F.regexp_replace(value, "^sc_?[0-9]+_?", ""), "[_-]+", " "))
-    return F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1_000_000))
+    return F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, F.lit(2), F.length(s)))
 
 
 def normal(value: Column) -> Column:
@@ -51,10 +59,9 @@ def terms(value: Column, least: int = 3) -> Column:
 
 
 def agent_of(message: Column) -> Column:
-    out = None
+    out = F
     for pattern, agent in AGENTS:
-        test = F.lower(message).rlike(pattern)
-        out = F.when(test, agent) if out is None else out.when(test, agent)
+        out = out.when(message.rlike(f"(?i){pattern}"), agent)
     return out.otherwise(OTHER_AGENT)
 
 
@@ -70,11 +77,12 @@ def batch_of(job_id: Column) -> Column:
     return F.when(found != "", found).when(F.length(job_id) > 0, F.substring(job_id, 1, 12))
 
 
-def skills_of(prompt: Column) -> Column:
-    """Skills that a prompt's words stand for, in order of first use."""
-    table = F.create_map(*[x for k, v in SKILL_WORDS.items() for x in (F.lit(k), F.lit(v))])
-    found = F.array_distinct(F.filter(F.transform(F.split(F.lower(prompt), "[^a-z]+"), lambda w: F.try_element_at(table, w)), lambda s: s.isNotNull()))
-    return F.when(F.size(found) == 0, F.array(F.lit(NO_SKILL))).otherwise(found)
+def skills_of(prompt: Column, verbs: list[str]) -> Column:
+    """Skills of the vocabulary that a prompt's words stand for, in order of first use; without any, its last verb."""
+    table = F.create_map(*[x for k, v in SKILL_WORDS.items() if v in verbs for x in (F.lit(k), F.lit(v))])
+    words = F.split(F.translate(F.lower(F.coalesce(prompt, F.lit(""))), ",.", "  "), r"\s+")
+    found = F.array_distinct(F.filter(F.transform(words, lambda w: F.try_element_at(table, w)), lambda s: s.isNotNull()))
+    return F.when(F.size(found) == 0, F.array(F.lit(verbs[-1] if verbs else NO_SKILL))).otherwise(found)
 
 
 def seconds_text(s: Column) -> Column:

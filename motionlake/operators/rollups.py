@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A manifest's status that lets an episode pass a stage.
+# A manifest's status that lets an episode pass a stage.
 PASSED = ("success", "skipped")
 
 
@@ -149,9 +149,20 @@ def sessions(rows: DataFrame, event: str, camera: str, least: int = 2) -> DataFr
     return rows.groupBy(event).agg(F.count_distinct(camera).alias("cameras"), F.count("*").alias("n")).where(F.col("cameras") >= least)
 
 
-def merge_verdict(model: Column, physics: Column, reasons: Column) -> Column:
-    """reject if either rejects, accept if the model says so and physics has no reasons, else review."""
-    return F.when((model == "reject") | (physics == "reject"), "reject").when((model == "accept") & (F.coalesce(reasons, F.lit(0)) == 0), "accept").otherwise("review")
+def merge_verdict(model: Column, notes: Column, physics: Column) -> Column:
+    """verdict and reasons of a clip.
+
+    model: what the reviewing model recommends (proceed, human_review or reject), notes: what it says of a rejection,
+    physics: array of the physics checks' reasons. Two reasons, or one that tells of a video that can't be read, reject
+    like the model does; a single one, or the model's doubt, leaves the clip to review.
+    """
+    found = F.coalesce(physics, F.array().cast("array<string>"))
+    unread = F.exists(found, lambda r: F.contains(r, F.lit("decodable")) | F.contains(r, F.lit("open video")))
+    rejects, doubts = F.coalesce(model == "reject", F.lit(False)), F.coalesce(model == "human_review", F.lit(False))
+    said = F.when(rejects, F.concat(F.lit("vlm: reject ("), F.coalesce(F.nullif(notes, F.lit("")), F.lit("unspecified")), F.lit(")"))).when(doubts, "vlm: human_review")
+    reasons = F.concat(F.array_compact(F.array(said)), F.transform(found, lambda r: F.concat(F.lit("physics: "), r)))
+    verdict = F.when(rejects | (F.size(found) >= 2) | unread, "reject").when(doubts | (F.size(found) == 1), "review").otherwise("accept")
+    return F.struct(verdict.alias("verdict"), F.when(F.size(reasons) == 0, F.array(F.lit("both tracks passed"))).otherwise(reasons).alias("reasons"))
 
 
 def score_clips(truth: DataFrame, predicted: DataFrame, segments: DataFrame, keys: DataFrame) -> DataFrame:

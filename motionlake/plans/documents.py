@@ -44,7 +44,7 @@ def keyword_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = adapters.series(spark, sf_dir).select("user_id", "event_type", "t", (F.col("v") / 100).alias("conf"), F.when(F.col("k") % 7 == 0, "guess").otherwise("measured").alias("source"), F.col("k").alias("frame"))
+    rows = adapters.series(spark, sf_dir).select("user_id", "event_type", "t", (F.col("v") / 100).alias("conf"), F.when(F.col("k") % 7 == 0, "guess").otherwise("captured").alias("source"), F.col("k").alias("frame"))
     return D.contract_violations(rows, ["t", "conf", "source", "valid"], ["user_id", "event_type"])
 
 

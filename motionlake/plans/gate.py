@@ -107,10 +107,10 @@ def _layout() -> str:
     return ", ".join(f"({k}, {a}, {b})" for k, (a, b) in adapters.LAYOUT.items())
 
 
-TRACKS_SQL = """
+TRACKS_SQL = f"""
 ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
 tracks AS (
-  SELECT user_id % 5 AS episode_id, user_id % 3 = 0 AS is_person, user_id AS track_id, datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS frame,
+  SELECT user_id // {adapters.CLIP_USERS} AS episode_id, user_id % 3 = 0 AS is_person, user_id AS track_id, datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS frame,
     min(value) AS x1, max(value) + 20 AS x2, CAST(4.0 * min(k) AS DOUBLE) AS y1, CAST(4.0 * max(k) + 20 AS DOUBLE) AS y2, count(*) AS n_events,
     CASE WHEN user_id % 3 = 0 THEN 'person' ELSE 'object_' || (user_id % 7) END AS label
   FROM ev GROUP BY user_id, 4),
@@ -157,7 +157,7 @@ c3 AS (
   FROM (SELECT *, rn - row_number() OVER (PARTITION BY track_id, kpt_idx ORDER BY frame) AS g FROM (SELECT *, row_number() OVER (PARTITION BY track_id, kpt_idx ORDER BY frame) AS rn FROM skate) WHERE flag)
   GROUP BY episode_id, track_id, label, kpt_idx, g HAVING count(*) >= {TH.skate_min_frames}),
 carried AS (
-  SELECT v.episode_id, v.track_id, v.frame, v.label, v.speed, min(sqrt(pow(greatest(x1 - wx, 0, wx - x2), 2) + pow(greatest(y1 - wy, 0, wy - y2), 2))) AS dist,
+  SELECT v.episode_id, v.track_id, v.frame, v.label, v.speed, min(CASE WHEN wx IS NOT NULL THEN sqrt(pow(greatest(x1 - wx, 0, wx - x2), 2) + pow(greatest(y1 - wy, 0, wy - y2), 2)) END) AS dist,
     v.speed > {TH.carried_min_speed} AND NOT (v.vy > 0 AND v.vy / greatest(v.speed, 0.000001) > {TH.fall_vy_ratio}) AS moving
   FROM vel v LEFT JOIN wrist w ON w.episode_id = v.episode_id AND w.frame = v.frame WHERE NOT is_person AND v.episode_id IN (SELECT episode_id FROM tracks WHERE is_person) GROUP BY ALL),
 c4 AS (

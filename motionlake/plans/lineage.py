@@ -89,7 +89,7 @@ def queries() -> dict:
     return {f.__name__: f for f in NAMES}
 
 
-MAN = "WITH m AS (SELECT l_orderkey AS episode_id, (['ingest', 'geometry', 'body', 'hands', 'objects', 'label', 'package'])[l_linenumber] AS stage, min(CASE l_returnflag WHEN 'R' THEN 'failed' WHEN 'A' THEN 'skipped' ELSE 'success' END) AS status, max(l_partkey) AS input_key FROM lineitem GROUP BY ALL)"
+MAN = f"WITH m AS (SELECT l_orderkey AS episode_id, ({adapters.LINE_STAGES})[l_linenumber] AS stage, min(CASE l_returnflag WHEN 'R' THEN 'failed' WHEN 'A' THEN 'skipped' ELSE 'success' END) AS status, max(l_partkey) AS input_key FROM lineitem GROUP BY ALL)"
 
 
 def oracle_sql() -> dict[str, str]:

@@ -53,9 +53,9 @@ def verdict_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _verdicts(spark, sf_dir):
-    model = F.when(F.col("status") == "completed", "accept").when(F.col("status") == "failed", "reject").otherwise("review")
-    verdict = R.merge_verdict(model, F.when(F.col("zones") == 0, "reject").otherwise("ok"), F.col("zones") % 3)
-    return adapters.runs(spark, sf_dir).select("id", verdict.alias("verdict"))
+    model = F.when(F.col("status") == "completed", "proceed").when(F.col("status") == "failed", "reject").otherwise("human_review")
+    reasons = F.array_compact(F.array(F.when(F.col("zones") == 0, "video not decodable"), F.when(F.col("zones") % 3 == 1, "flow spikes"), F.when(F.col("zones") % 4 == 1, "scale jumps")))
+    return adapters.runs(spark, sf_dir).select("id", R.merge_verdict(model, F.when(F.col("batch") % 2 == 0, F.lit("extra fingers")), reasons).alias("m")).select("id", "m.verdict", F.array_join("m.reasons", "; ").alias("reasons"))
 
 
 def merge_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +147,11 @@ RUNS_SQL = """WITH runs AS (
   FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) z ON l_orderkey = o_orderkey),
 ok AS (SELECT *, status <> 'failed' AND coalesce(review_status, '') <> 'failed' AS good, zones > 0 OR coalesce(label_status = 'completed', false) AS ds FROM runs)
 """
-VERDICT = "CASE WHEN status = 'failed' OR zones = 0 THEN 'reject' WHEN status = 'completed' AND zones % 3 = 0 THEN 'accept' ELSE 'review' END"
+# Two reasons of physics, or a video that can't be decoded, reject; one, or the model's doubt, is reviewed.
+PHYSICS = "(CAST(zones = 0 AS INTEGER) + CAST(zones % 3 = 1 AS INTEGER) + CAST(zones % 4 = 1 AS INTEGER))"
+VERDICT = f"CASE WHEN status = 'failed' OR zones = 0 OR {PHYSICS} >= 2 THEN 'reject' WHEN status = 'running' OR {PHYSICS} = 1 THEN 'review' ELSE 'accept' END"
+REASONS = """coalesce(nullif(concat_ws('; ', CASE status WHEN 'failed' THEN 'vlm: reject (' || CASE WHEN batch % 2 = 0 THEN 'extra fingers' ELSE 'unspecified' END || ')' WHEN 'running' THEN 'vlm: human_review' END,
+  CASE WHEN zones = 0 THEN 'physics: video not decodable' END, CASE WHEN zones % 3 = 1 THEN 'physics: flow spikes' END, CASE WHEN zones % 4 = 1 THEN 'physics: scale jumps' END), ''), 'both tracks passed')"""
 BENCH_SQL = """WITH sk AS (SELECT ['reach', 'grasp', 'lift', 'place'] AS s),
 t AS (SELECT o_orderkey AS clip, o_custkey AS c, o_orderstatus AS rec, CASE WHEN o_custkey % 7 = 0 THEN [] ELSE [s[o_custkey % 4 + 1]] END AS expected, [s[o_custkey % 4 + 1], s[(o_custkey + 1) % 4 + 1], 'idle'] AS allowed, s[(o_custkey + 2) % 4 + 1] AS forbidden, s[o_custkey % 4 + 1] AS want FROM orders, sk),
 seg AS (SELECT l_orderkey AS clip, CAST(l_linenumber * 10 AS DOUBLE) AS s0, l_linenumber * 10 + l_quantity AS s1, CASE WHEN l_returnflag = 'N' THEN 'idle' ELSE s[l_partkey % 4 + 1] END AS skill, l_suppkey % 2 = 0 AS ev FROM lineitem, sk),
@@ -167,7 +171,7 @@ KPIS = f"""count(*) AS total, count(*) FILTER (good) AS succeeded, count(*) FILT
 
 
 def oracle_sql() -> dict[str, str]:
-    stage = "(['ingest', 'geometry', 'body', 'hands', 'objects', 'label', 'package'])[l_linenumber]"
+    stage = f"({adapters.LINE_STAGES})[l_linenumber]"
     return {
         "kpi_block": RUNS_SQL + f"SELECT {KPIS} FROM ok",
         "kpi_rollup": RUNS_SQL + "SELECT camera, status, count(*) AS total, CAST(sum(zones) AS BIGINT) AS zones, round(avg(seconds), 4) AS avg_seconds FROM runs GROUP BY ROLLUP (camera, status)",
@@ -179,10 +183,10 @@ def oracle_sql() -> dict[str, str]:
             count(*) FILTER (review_status = 'failed') AS failed_validation, count(*) FILTER (status = 'failed' AND coalesce(review_status, '') <> 'failed') AS failed_generation, count(*) FILTER (label_status = 'failed') AS failed_labelling FROM ok""",
         "throughput_rate": RUNS_SQL + "SELECT camera, round(CASE WHEN coalesce(sum(seconds), 0) > 0 THEN count(*) / sum(seconds) * 60 ELSE 0 END, 6) AS per_minute FROM ok GROUP BY 1",
         "stage_funnel": f"""WITH m AS (SELECT l_orderkey AS episode_id, {stage} AS stage, min(CASE l_returnflag WHEN 'R' THEN 'failed' WHEN 'A' THEN 'skipped' ELSE 'success' END) AS status FROM lineitem GROUP BY ALL),
-            f AS (SELECT unnest(['ingest', 'geometry', 'body', 'hands', 'objects', 'label', 'package', 'report']) AS stage, unnest(range(8)) AS place)
+            f AS (SELECT unnest({[*adapters.LINE_STAGES, 'report']}) AS stage, unnest(range(8)) AS place)
             SELECT f.stage, CAST(place AS INTEGER) AS place, count(*) FILTER (status IN ('success', 'skipped')) AS passed, count(*) FILTER (status = 'failed') AS failed, (SELECT count(DISTINCT episode_id) FROM m) - count(m.episode_id) AS pending FROM f LEFT JOIN m USING (stage) GROUP BY ALL""",
         "verdict_histogram": RUNS_SQL + f"SELECT v.verdict, count(o.v) AS n FROM (SELECT unnest(['accept', 'review', 'reject', 'error']) AS verdict) v LEFT JOIN (SELECT {VERDICT} AS v FROM runs) o ON o.v = v.verdict GROUP BY 1",
-        "merge_verdict": RUNS_SQL + f"SELECT id, {VERDICT} AS verdict FROM runs",
+        "merge_verdict": RUNS_SQL + f"SELECT id, {VERDICT} AS verdict, {REASONS} AS reasons FROM runs",
         "batch_status": RUNS_SQL + """, b AS (SELECT batch, count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed FROM runs GROUP BY 1)
             SELECT *, CAST(least(100, floor((completed + failed) / total * 100 + 0.5)) AS BIGINT) AS progress, CASE WHEN completed + failed < total THEN 'running' WHEN failed = total THEN 'failed' WHEN failed > 0 THEN 'partial' ELSE 'completed' END AS state FROM b""",
         "batch_decision": RUNS_SQL + "SELECT batch, count(*) FILTER (NOT good) AS rejected, count(*) FILTER (NOT good) = 0 AS accepted FROM ok GROUP BY 1",

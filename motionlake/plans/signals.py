@@ -26,13 +26,14 @@ def motion_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def umeyama_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("embedding")
     rows = adapters.table(spark, sf_dir, "embeddings").select("label", "vec_id", *[e[i].cast("double").alias(c) for i, c in enumerate("xyz")], *[(2 * e[i] + e[i + 6] / 10).cast("double").alias(c) for i, c in enumerate("uvw")])
-    found = S.alignments(rows, "label", "int", "vec_id")
+    found = S.alignments(rows, "label")
     return found.select("label", *[F.round(c, 6).alias(c) for c in ("scale", "rms", "p95")])
 
 
 def gait_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = adapters.quaternions(spark, sf_dir).select("vec_id", (F.abs("q.w") * 5).alias("period"), (F.abs("q.x") * 15).alias("speed"))
-    return rows.select("vec_id", S.gait_class("period", "speed").alias("gait"))
+    period = F.when(F.col("vec_id") % 10 == 0, 0.0).otherwise(F.abs("q.w") * 5)
+    rows = adapters.quaternions(spark, sf_dir).select("vec_id", period.alias("period"), (F.abs("q.x") * 15).alias("speed"))
+    return rows.select("vec_id", S.gait_class("period", "speed", F.col("vec_id") % 7 != 0).alias("gait"))
 
 
 NAMES = [dominant_periods, phase_lags, motion_segments, umeyama_align, gait_classes]
@@ -44,6 +45,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "gait_classes": """WITH e AS (SELECT vec_id, abs(CAST(embedding[1] AS DOUBLE)) * 5 AS p, abs(CAST(embedding[2] AS DOUBLE)) * 15 AS v FROM embeddings)
-            SELECT vec_id, CASE WHEN v < 0.1 THEN 'stand' WHEN v < 1 OR p > 0.8 THEN 'walk' WHEN v < 2.5 OR p > 0.45 THEN 'trot' ELSE 'gallop' END AS gait FROM e"""
+        "gait_classes": """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN 0 ELSE abs(CAST(embedding[1] AS DOUBLE)) * 5 END AS p, abs(CAST(embedding[2] AS DOUBLE)) * 15 AS v FROM embeddings)
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 OR p <= 0 THEN CASE WHEN v < 0.05 THEN 'stand' ELSE 'walk' END WHEN v < 0.05 THEN 'stand' WHEN p > 0.7 AND v < 0.9 THEN 'walk' WHEN v > 2.2 THEN 'gallop' ELSE 'trot' END AS gait FROM e"""
     }

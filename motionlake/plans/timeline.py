@@ -230,7 +230,7 @@ DAILY = f"""WITH {SERIES}, daily AS (
   SELECT u.user_id, b.bin, coalesce(avg(v), 0.0) AS v FROM (SELECT DISTINCT user_id FROM series) u CROSS JOIN (SELECT unnest(range(30)) AS bin) b
   LEFT JOIN series s ON s.user_id = u.user_id AND floor(s.t / 86400.0) = b.bin GROUP BY ALL)"""
 POINTS = f"WITH {TURNS}, pts AS (SELECT conv_id, unnest(range(CAST(floor(max(end_s) / 3) AS BIGINT) + 1)) * CAST(3.0 AS DOUBLE) AS t FROM turns GROUP BY 1)"
-CONTACT = """WITH c AS (SELECT CAST(label AS BIGINT) AS object_id, vec_id AS frame, abs(CAST(embedding[1] AS DOUBLE)) / 10 AS d FROM embeddings),
+CONTACT = """WITH c AS (SELECT vec_id // 50 AS object_id, vec_id AS frame, abs(CAST(embedding[1] AS DOUBLE)) / 10 AS d FROM embeddings),
 e AS (SELECT *, CASE WHEN d > 0.02 THEN 0 WHEN d < 0.012 AND lead(d) OVER w < 0.012 THEN 1 END AS ev FROM c WINDOW w AS (PARTITION BY object_id ORDER BY frame)),
 k AS (SELECT *, coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY object_id ORDER BY frame ROWS UNBOUNDED PRECEDING), 0) = 1 AS contact FROM e)"""
 QUAT = """WITH e AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings),

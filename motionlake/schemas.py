@@ -97,21 +97,26 @@ BONES = [
 # Stages of an episode in canonical order with what each depends on.
 STAGES = {
     "ingest": [],
-    "geometry": ["ingest"],
-    "body": ["geometry"],
-    "hands": ["geometry"],
+    "feasibility_judge": ["ingest"],
+    "geometry": ["feasibility_judge"],
+    "human_body": ["geometry"],
+    "hands": ["human_body"],
     "objects": ["geometry"],
-    "align": ["body", "hands", "objects"],
-    "label": ["align"],
-    "retarget": ["align"],
-    "physics": ["retarget"],
-    "qa": ["label", "physics"],
+    "contact": ["hands", "objects"],
+    "semantics": ["hands", "contact"],
+    "retarget": ["human_body", "hands"],
+    "physics_validate": ["retarget"],
+    "qa": ["physics_validate", "semantics"],
     "package": ["qa"],
-    "report": ["package"],
 }
 
-SOURCES = ["measured", "interpolated", "synthetic", "estimated", "triangulated", "manual"]
-
+# Where a sample comes from, how a stage ends, the vocabulary of skills.
+SOURCES = ["captured", "estimated", "triangulated", "fused", "synthesized"]
+STATUSES = ["success", "failed", "rejected", "skipped"]
+VERBS = [
+    "reach", "grasp", "release", "lift", "lower", "place", "push", "pull", "slide", "rotate", "open", "close", "pour", "insert", "remove", "press", "wipe", "stir", "cut",
+    "fold", "shake", "hand_over", "hold", "walk", "turn", "wave", "point", "gesture", "idle", "trot", "gallop", "jump", "sit", "lie_down", "stand",
+]
 
 
 TABLES = {

@@ -22,15 +22,46 @@ def test_phase_lag():
         assert S.phase_lag(x, np.roll(x, k)) == pytest.approx(k / 40)
 
 
-def test_umeyama():
+def test_similarities(spark):
     rng = np.random.default_rng(1)
     src = rng.normal(size=(20, 3))
     q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
     r = q * np.sign(np.linalg.det(q))
-    s, rot, t = S.umeyama(src, 1.7 * src @ r.T + [1, 2, 3])
-    assert s == pytest.approx(1.7) and np.allclose(rot, r) and np.allclose(t, [1, 2, 3])
-    s, rot, t = S.umeyama(src, src)
-    assert s == pytest.approx(1) and np.allclose(rot, np.eye(3)) and np.allclose(t, 0)
+    exact, mirrored, noise = 1.7 * src @ r.T + [1, 2, 3], src * [1, 1, -1], rng.normal(size=(20, 3))
+    rows = [(k, *map(float, a), *map(float, b)) for k, dst in enumerate([exact, src, mirrored, exact + noise]) for a, b in zip(src, dst, strict=True)]
+    rows += [(4, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0)] * 5 + [(5, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0)]
+    frame = spark.createDataFrame(rows, "k long, x double, y double, z double, u double, v double, w double")
+    found = {f.k: f for f in S.similarities(frame, "k").collect()}
+    assert found[0].scale == pytest.approx(1.7) and np.allclose(np.reshape(found[0].r, (3, 3)), r) and np.allclose(found[0].t, [1, 2, 3]) and found[0].rms == pytest.approx(0, abs=1e-6)
+    assert found[1].scale == pytest.approx(1) and np.allclose(np.reshape(found[1].r, (3, 3)), np.eye(3))
+    assert np.linalg.det(np.reshape(found[2].r, (3, 3))) == pytest.approx(1)
+    assert found[4].scale is None and found[5].scale is None
+    # No similarity nearby is better.
+    rot, s, t = np.reshape(found[3].r, (3, 3)), found[3].scale, np.array(found[3].t)
+    spread = lambda s, rot, t: np.sqrt(((s * src @ rot.T + t - exact - noise) ** 2).sum(axis=1).mean())
+    assert spread(s, rot, t) == pytest.approx(found[3].rms)
+    for _ in range(200):
+        w = rng.normal(size=3) * 0.05
+        turn = np.eye(3) + np.array([[0, -w[2], w[1]], [w[2], 0, -w[0]], [-w[1], w[0], 0]])
+        u, _, v = np.linalg.svd(turn @ rot)
+        assert spread(s + rng.normal() * 0.05, u @ v, t + rng.normal(size=3) * 0.05) >= found[3].rms - 1e-9
+    last = {f.k: f for f in S.alignments(frame, "k").collect()}
+    error = np.linalg.norm(s * src @ rot.T + t - exact - noise, axis=1)
+    assert last[3].p95 == pytest.approx(np.percentile(error, 95)) and last[4].p95 is None
+
+
+def test_the_median_of_long_series(monkeypatch):
+    x = np.random.default_rng(2).normal(size=(120, 2))
+    whole = S.median_distance(x)
+    monkeypatch.setattr(S, "PAIRS_AT_ONCE", 10)
+    assert S.median_distance(x) == pytest.approx(whole, rel=1e-3)
+
+
+def test_missing_samples_keep_their_place():
+    t = np.arange(120) / 20
+    x = np.sin(2 * np.pi * t / 0.5)
+    x[30:60] = np.nan
+    assert S.dominant_period(x, 20) == pytest.approx(0.5, abs=0.02)
 
 
 def cost(x, cuts, penalty):

@@ -43,10 +43,10 @@ def test_arrays_round_trip(spark, tmp_path):
 
 
 def test_contract_on_write(spark, tmp_path):
-    good = [(1, 0.0, 0, "left", 1, True, 0.1, 0.9, "measured"), (1, 0.1, 1, "left", 1, False, 0.2, 0.9, "measured")]
+    good = [(1, 0.0, 0, "left", 1, True, 0.1, 0.9, "captured"), (1, 0.1, 1, "left", 1, False, 0.2, 0.9, "captured")]
     sinks.write_table(spark.createDataFrame(good, TABLES["contacts"]), f"{tmp_path}/c", "contacts", ["episode_id"], ["episode_id"])
     assert tables.read_table(spark, f"{tmp_path}/c", "contacts").count() == 2
-    for bad in ((1, 0.1, 1, "left", 1, False, 0.2, 1.5, "measured"), (1, 0.1, 1, "left", 1, False, 0.2, 0.5, "dream"), (1, 0.0, 1, "left", 1, False, 0.2, 0.5, "measured")):
+    for bad in ((1, 0.1, 1, "left", 1, False, 0.2, 1.5, "captured"), (1, 0.1, 1, "left", 1, False, 0.2, 0.5, "dream"), (1, 0.0, 1, "left", 1, False, 0.2, 0.5, "captured")):
         with pytest.raises(sinks.ContractError):
             sinks.write_table(spark.createDataFrame([good[0], bad], TABLES["contacts"]), f"{tmp_path}/d", "contacts", ["episode_id"])
     with pytest.raises(sinks.ContractError, match="missing column"):
