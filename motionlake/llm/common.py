@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -13,11 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder all executors see: ``spark.checkpoint.dir``, or where it is unset, as in tests, one of our own on a
+    local master; a cluster has to name one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isEmpty():
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             root = tempfile.mkdtemp(prefix="motionlake-")
             spark.sparkContext.setCheckpointDir(f"file://{root}")
             current = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -35,3 +40,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(*frames: DataFrame) -> None:
+    """Remove tables that ``written`` made and nothing reads any more."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release() -> None:
+    """Give freed memory back: an idle worker of one stage stays beside those of the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

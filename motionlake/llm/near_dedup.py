@@ -24,17 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import order_minhash
-from .common import written
+from .common import forget, release, written
 
 SIMILARITY = 0.8
 #: Members of a bucket whose pairs come from a join; those of larger ones come from blocks of about BLOCK members each.
 SMALL = 16
 BLOCK = 4096
-#: Sketches whose stars are aligned before all others.
+#: One in so many buckets, whose stars are aligned before all others.
 FIRST = 8
 #: Bins that the bags of words are folded to for a first look.
 COARSE_BINS = 64
@@ -64,6 +65,7 @@ def sketches(docs: DataFrame, text: str, key: str) -> DataFrame:
                 bags = pa.array([b.tobytes() for b in order_minhash.bags(words, sizes_all[lo:hi])], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], rows, bags], schema=schema)
                 lo = hi
+        release()
 
     words = docs.select(F.col(key).cast("long").alias("id"), word_hashes(F.col(text)).alias("w"))
     rows = words.select("id", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), "w").alias("k2"), F.size("w").cast("long").alias("n"), "w")
@@ -90,16 +92,20 @@ def plausible(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame
 
 
 def block_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """a, b: the plausible pairs of different labels in the buckets of members (bucket, size, id, label, n, bag).
+    """a, b: the plausible pairs of different labels in the buckets of members (bucket, size, id, label, mine, n, bag).
 
-    A bucket is cut into blocks by hash; each two blocks meet in a group of their own.
+    A bucket is cut into blocks by hash; each two blocks meet in a group of their own. mine are all buckets of the id, in
+    order: a pair comes out of the least of those that it shares only.
     """
 
     def run(group: pa.Table) -> pa.Table:
         g = group.combine_chunks()
         of = lambda name: g.column(name).to_numpy()
         ids, labels, n, bags = of("id"), of("label"), of("n"), bag_rows(g.column("bag"))
-        own, i, j = of("block"), of("i")[0], of("j")[0]
+        own, i, j, bucket = of("block"), of("i")[0], of("j")[0], of("bucket")[0]
+        sizes = pc.list_value_length(g.column("mine")).to_numpy()
+        mine = np.full((len(sizes), sizes.max()), np.iinfo(np.int64).min)
+        mine[np.arange(mine.shape[1]) < sizes[:, None]] = pc.list_flatten(g.column("mine")).to_numpy()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         right = right[np.argsort(n[right], kind="stable")]
         coarse = bags.reshape(len(bags), -1, order_minhash.BINS // COARSE_BINS).sum(axis=2, dtype=np.int32)
@@ -110,7 +116,9 @@ def block_pairs(members: DataFrame, similarity: float) -> DataFrame:
             other = other[(labels[other] != labels[x]) & ((ids[other] > ids[x]) if i == j else True)]
             for kind in (coarse, bags):  # most pairs fall to the cheaper bound
                 other = other[order_minhash.bag_edits(kind[x], kind[other]) <= (1 - similarity) * np.maximum(n[x], n[other]) + 1e-9]
-            if len(other):
+            if len(other):  # the first of the other's buckets that both have
+                shared = np.isin(mine[other], mine[x][: sizes[x]]).argmax(axis=1)
+                other = other[mine[other, shared] == bucket]
                 a.append(np.minimum(ids[x], ids[other]))
                 b.append(np.maximum(ids[x], ids[other]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
@@ -118,7 +126,7 @@ def block_pairs(members: DataFrame, similarity: float) -> DataFrame:
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     rows = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    return rows.select("bucket", "i", "j", "block", "id", "label", "n", "bag").groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
+    return rows.select("bucket", "i", "j", "block", "id", "label", "mine", "n", "bag").groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def align(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -136,10 +144,12 @@ def align(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
                 na.append(len(x))
                 nb.append(len(y))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (edits, na, nb))], schema=schema)
+        release()
 
     left = texts.select(F.col("id").alias("a"), F.col("w").alias("wa"))
     right = texts.select(F.col("id").alias("b"), F.col("w").alias("wb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb")
+    # Pairs cost far more than their bytes: merge joins deal them evenly, which a broadcast to the files of texts doesn't.
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "wa", "wb")
     return both.mapInArrow(run, "a long, b long, edits long, na long, nb long")
 
 
@@ -150,9 +160,9 @@ def is_link(similarity: float) -> Column:
 def linked(docs: DataFrame, reps: DataFrame, text: str, key: str, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Of representatives (id, k1, n, sketch, bag): a, b, the verified links; pairs that others join may be missing. And
     id, label: the components of the links."""
-    members = reps.select(F.posexplode("sketch").alias("place", "bucket"), "id")
+    members = reps.select(F.explode("sketch").alias("bucket"), "id")
     shared = members.groupBy("bucket").count().where("count > 1").select("bucket")
-    members = written(members.join(shared, "bucket").select("bucket", "id", "place"), "members")
+    members = written(members.join(shared, "bucket"), "members")
     need = reps.select("id", "k1").join(members.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("need"), "k1")
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(need, F.col("id") == F.col("need"))
     rows = rows.select("id", "k1", word_hashes(F.col("t")).alias("w")).where(F.xxhash64("w") == F.col("k1"))
@@ -166,12 +176,15 @@ def linked(docs: DataFrame, reps: DataFrame, text: str, key: str, similarity: fl
         return pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
 
     # The first sketches join most copies; after that a bucket counts only if it holds several components.
-    first = star_pairs(members.where(F.col("place") < FIRST).withColumn("label", F.col("id"))).distinct()
+    first = star_pairs(members.where(F.pmod("bucket", F.lit(FIRST)) == 0).withColumn("label", F.col("id"))).distinct()
     known = aligned(plausible(first, reps, similarity), "first")
     labels = components(known.where(is_link(similarity)))
-    rows = labelled(members.select("bucket", "id"), labels, "id", "label")
-    members = written(rows.join(mixed_buckets(rows), "bucket").select("bucket", "id", "label"), "mixed")
+    rows = labelled(members, labels, "id", "label")
+    mixed = written(rows.join(mixed_buckets(rows), "bucket").select("bucket", "id", "label"), "mixed")
+    forget(members)
+    members = mixed
     stars = aligned(plausible(untried(star_pairs(members).distinct()), reps, similarity), "stars")
+    gone = [known, stars]
     known, labels = written(known.unionByName(stars), "known"), merged(labels, stars.where(is_link(similarity)))
 
     # What still is in different components of a bucket is settled pair by pair.
@@ -180,15 +193,20 @@ def linked(docs: DataFrame, reps: DataFrame, text: str, key: str, similarity: fl
     rest = written(rows.join(sizes.select("bucket", "size"), "bucket"), "rest")
     small = rest.where(F.col("size") <= SMALL).select("bucket", "id", "label")
     close = small.toDF("bucket", "a", "la").join(small.toDF("bucket", "b", "lb"), "bucket").where("a < b AND la != lb").select("a", "b").distinct()
-    large = block_pairs(rest.where(F.col("size") > SMALL).join(reps, "id"), similarity)
+    large = rest.where(F.col("size") > SMALL)
+    large = block_pairs(large.join(large.groupBy("id").agg(F.sort_array(F.collect_list("bucket")).alias("mine")), "id").join(reps, "id"), similarity)
     open_pairs = untried(plausible(close, reps, similarity).unionByName(large).distinct())
     open_pairs = written(labelled(labelled(open_pairs, labels, "a", "la"), labels, "b", "lb"), "open")
     tried = open_pairs.groupBy(F.least("la", "lb"), F.greatest("la", "lb")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
     tried = aligned(tried, "tried")
+    gone += [known, tried]
     known, labels = written(known.unionByName(tried), "known"), merged(labels, tried.where(is_link(similarity)))
     left = labelled(labelled(untried(open_pairs.select("a", "b")), labels, "a", "la"), labels, "b", "lb").where("la != lb")
     settled = aligned(left.select("a", "b"), "settled")
-    return known.unionByName(settled).where(is_link(similarity)).select("a", "b"), merged(labels, settled.where(is_link(similarity)))
+    labels = merged(labels, settled.where(is_link(similarity)))
+    links = written(known.unionByName(settled).where(is_link(similarity)).select("a", "b"), "links")
+    forget(*gone, known, settled, members, texts, rest, open_pairs)
+    return links, labels
 
 
 def star_pairs(members: DataFrame) -> DataFrame:
@@ -218,8 +236,10 @@ def components(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("id").alias("via"), F.col("label").alias("further"))
         step = step.join(jump, F.col("label") == F.col("via"), "left").select("id", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
         step = written(step, "labels")
+        forget(labels)
         labels = step.select("id", "label")
         if step.where("old != label").isEmpty():
+            forget(both)
             return labels
 
 
@@ -229,7 +249,9 @@ def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
     more = components(new.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
     moved = labels.join(more.select(F.col("id").alias("__from"), F.col("label").alias("__to")), F.col("label") == F.col("__from"), "left")
     alone = more.join(labels.select("id"), "id", "left_anti")
-    return written(moved.select("id", F.coalesce("__to", "label").alias("label")).unionByName(alone), "labels")
+    found = written(moved.select("id", F.coalesce("__to", "label").alias("label")).unionByName(alone), "labels")
+    forget(labels, more)
+    return found
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -239,7 +261,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text",
     least = some.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
     mine = written(some.join(least, ["k1", "k2"]).select("id", "rep").distinct(), "exact")
     one = least.groupBy("rep").agg(F.min(F.struct("k1", "k2")).alias("k")).select("rep", F.col("k.k1").alias("r1"), F.col("k.k2").alias("r2"))
-    reps = some.join(one, (F.col("id") == F.col("rep")) & (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")), "left_semi")
+    # Both sides meet by id alone, so dropDuplicates needs no further shuffle.
+    same = F.col("k1").bitwiseXOR(F.col("r1")).bitwiseOR(F.col("k2").bitwiseXOR(F.col("r2"))) == 0
+    reps = some.join(one, (F.col("id") == F.col("rep")) & same, "left_semi")
     reps = written(reps.dropDuplicates(["id"]).select("id", "k1", "n", "sketch", "bag"), "reps")
     first = mine.groupBy("id").agg(F.min("rep").alias("a"), F.count("*").alias("texts"))
     several = mine.join(first.where("texts > 1"), "id").select("a", F.col("rep").alias("b")).where("a != b")
