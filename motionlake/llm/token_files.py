@@ -12,24 +12,26 @@ an empty table gives no files and no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 from .files import new_file, open_file
 
-#: Documents that one call encodes share the work on equal pieces.
-BLOCK_CHARS = 24_000_000
+#: Documents that one call encodes share the work on equal pieces; their bytes.
+BLOCK_BYTES = 24_000_000
 FILE_BYTES = 256 << 20
 READ_BYTES = 8 << 20
 
@@ -130,11 +132,17 @@ def parse_payload(data: bytes) -> tuple[int | None, np.ndarray]:
     return None if null else key, np.frombuffer(data, dtype=f"<u{width}", offset=10).astype("<u4")
 
 
+# How a tokenizer normalises and splits if its matches never hold white space. NORMALIZERS and PATTERN as
+# its file states them.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 #: Beyond these characters, the library's lower case and composition may depend on what stands beside a character.
-NOT_LATIN = re.compile(r"[^\x00-\xff]")
-#: A mark that ends a word after a letter; the library's pattern parts the two too.
-END_MARKS = frozenset(".,;:!?")
-LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ")
+NOT_LATIN = r"[^\x00-\x{ff}]"
+#: A mark that ends a word after a letter; PATTERN parts the two too.
+END_MARK = r"([a-zß-öø-ÿ])([.,;:!?])(\s|$)"
+#: Separators that white space at large counts but the library's pattern doesn't.
+SEPARATORS = r"[\x1c-\x1f]"
 
 
 @lru_cache(2)
@@ -145,40 +153,50 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
-    """The library's ids of each text. Its matches never hold white space, so equal pieces between white space are
-    encoded once a block; a text with a special token or with separators that only str.split knows goes in whole. The library
-    folds case, so Latin texts are folded first, and their end marks are pieces of their own: fewer pieces differ."""
+@lru_cache(2)
+def splits_at_space(path: str) -> bool:
+    """Whether a tokenizer normalises and splits as stated above, so texts may be cut at white space beforehand."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    normal, split = told["normalizer"] or {}, (told["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    first = {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}
+    return normal.get("normalizers") == NORMALIZERS and split[0] == first
+
+
+def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The library's ids of all texts end to end, and how many each has.
+
+    Equal pieces between white space are encoded once a block. The library folds case, so Latin texts are folded first,
+    and their end marks are pieces of their own: fewer pieces differ. A text with a special token or with separators that
+    the library's pattern doesn't know goes in whole, and so do all texts of a tokenizer of another shape.
+    """
     encoder = tokenizer(path)
-    special = [t.content for t in encoder.get_added_tokens_decoder().values()]
-    number: dict[str, int] = {}
-    whole, seen = [], []
-    for i, t in enumerate(texts):
-        if t and (any(s in t for s in special) or any(c in t for c in "\x1c\x1d\x1e\x1f")):
-            whole.append(i)
-            t = None
-        elif t and not NOT_LATIN.search(t):
-            t = t.lower()
-        seen.append(np.array([number.setdefault(w, len(number)) for w in t.split()] if t else [], dtype=np.int64))
-    parts: dict[str, int] = {}
-    split = []
-    for w in number:
-        if len(w) > 1 and w[-1] in END_MARKS and w[-2] in LETTERS:
-            split.append((parts.setdefault(w[:-1], len(parts)), parts.setdefault(w[-1], len(parts))))
-        else:
-            split.append((parts.setdefault(w, len(parts)), -1))
-    done = [e.ids for e in encoder.encode_batch_fast(list(parts), add_special_tokens=False)]
-    flat = [done[i] if j < 0 else done[i] + done[j] for i, j in split]
-    counts = np.array([len(x) for x in flat], dtype=np.int64)
-    starts = np.append(0, np.cumsum(counts))
-    ids = np.array([x for part in flat for x in part], dtype=np.uint32)
-    out = []
-    for w in seen:
-        n = counts[w]
-        out.append(ids[np.repeat(starts[w] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
-    for i, e in zip(whole, encoder.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
-        out[i] = np.array(e.ids, dtype=np.uint32)
-    return out
+    texts = pc.fill_null(texts, "")
+    if not splits_at_space(path):
+        return lists_end_to_end([e.ids for e in encoder.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)])
+    whole = pc.match_substring_regex(texts, SEPARATORS)
+    for t in encoder.get_added_tokens_decoder().values():
+        whole = pc.or_(whole, pc.match_substring(texts, t.content))
+    rest = pc.if_else(whole, "", texts)
+    rest = pc.if_else(pc.match_substring_regex(rest, NOT_LATIN), rest, pc.utf8_lower(rest))
+    pieces = pc.utf8_split_whitespace(pc.replace_substring_regex(rest, END_MARK, r"\1 \2\3"))
+    coded = pieces.flatten().dictionary_encode()
+    known, lengths = lists_end_to_end([e.ids for e in encoder.encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)])
+    which = coded.indices.to_numpy()
+    sizes, starts = lengths[which], (np.cumsum(lengths) - lengths)[which]
+    before = np.append(0, np.cumsum(sizes))
+    ids = known[np.repeat(starts - before[:-1], sizes) + np.arange(before[-1])]
+    edges = before[np.append(0, np.cumsum(pc.list_value_length(pieces).to_numpy()))]
+    counts, at = np.diff(edges), np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+    if len(at):
+        more, counts[at] = lists_end_to_end([e.ids for e in encoder.encode_batch_fast(texts.take(pa.array(at)).to_pylist(), add_special_tokens=False)])
+        ids = np.insert(ids, np.repeat(edges[at], counts[at]), more)
+    return ids, counts
+
+
+def lists_end_to_end(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.array([len(x) for x in lists], dtype=np.int64)
+    return np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(counts.sum())), counts
 
 
 def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -188,9 +206,11 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int, text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, out, uri, at = TaskContext.get().partitionId(), None, None, 0
 
-        def flush(keys: list, texts: list) -> pa.RecordBatch:
+        def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             nonlocal out, uri, at
-            ids = [np.append(x, np.uint32(end_id)) for x in encode_texts(texts, path)]
+            keys = [k for p in parts for k in p.column(0).to_pylist()]
+            flat, counts = encode_texts(pa.concat_arrays([p.column(1) for p in parts]), path)
+            ids = [np.append(x, np.uint32(end_id)) for x in np.split(flat, np.cumsum(counts)[:-1])]
             rows = []
             if out is None or at >= FILE_BYTES:
                 if out:
@@ -204,19 +224,23 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int, text: str
                 out.write(b"".join(records))
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-        keys, texts, size, done = [], [], 0, []
+        parts, size, done = [], 0, []
         for batch in batches:
-            for k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys.append(k)
-                texts.append(t)
-                size += len(t or "")
-                if size >= BLOCK_CHARS:
-                    done.append(flush(keys, texts))
-                    keys, texts, size = [], [], 0
-        if keys:
-            done.append(flush(keys, texts))
+            before, lo = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()), 0
+            while lo < batch.num_rows:  # up to the row at which the block is full
+                room = BLOCK_BYTES - size + (before[lo - 1] if lo else 0)
+                hi = min(int(np.searchsorted(before, room)) + 1, batch.num_rows)
+                parts.append(batch.slice(lo, hi - lo))
+                size += int(before[hi - 1] - (before[lo - 1] if lo else 0))
+                lo = hi
+                if size >= BLOCK_BYTES:
+                    done.append(flush(parts))
+                    parts, size = [], 0
+        if parts:
+            done.append(flush(parts))
         if out:
             out.close()  # the index is handed on once the files are whole
+        release()
         yield from done
 
     ordered = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
