@@ -22,8 +22,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import release
+
 #: Characters of text that share one replay.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 
 
 class Merges:
@@ -55,15 +57,25 @@ class Merges:
         return np.where((self.codes[at] == code) & (left >= 0) & (right >= 0), self.results[at], -1)
 
     def one_word(self, word: bytes) -> list[int]:
-        """Merge a single word, lowest rank first, leftmost of equals."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            ranked = [(self.ranks[x], i) for i in range(len(parts) - 1) if (x := parts[i] + parts[i + 1]) in self.ranks]
-            if not ranked:
-                break
-            i = min(ranked)[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+        """Merge a single word, lowest rank first, leftmost of equals: parts are linked and their pairs stand in a heap,
+        so a word of n bytes takes n log n steps."""
+        n = len(word)
+        part = [word[i : i + 1] for i in range(n)]
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        heap = [(r, i, part[i] + part[i + 1]) for i in range(n - 1) if (r := self.ranks.get(part[i] + part[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, whole = heapq.heappop(heap)
+            j = after[i]
+            if j < 0 or not part[i] or part[i] + part[j] != whole:  # a neighbour has been merged since
+                continue
+            part[i], part[j], after[i] = whole, b"", after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] >= 0 and (r := self.ranks.get(part[k] + part[after[k]])) is not None:
+                    heapq.heappush(heap, (r, k, part[k] + part[after[k]]))
+        return [self.ranks[p] for p in part if p]
 
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words end to end, and the offset of each word's first id."""
@@ -223,6 +235,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
                 done = encode_block(texts, merges, split)
                 for i in range(0, len(keys), 2000):
                     yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 2000], schema[0].type), pa.array(done[i : i + 2000], pa.binary())], schema=schema)
+                del keys, texts, done
+                release()
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind.simpleString()}, ids binary")
 
@@ -235,6 +249,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
         for batch in batches:
             done = [None if v is None else merges.decode(np.frombuffer(v, dtype="<u4")) for v in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(done, pa.binary())], names=[*batch.schema.names, "decoded"])
+        release()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{fields}, decoded binary")

@@ -2,11 +2,14 @@
 
 import base64
 import hashlib
+import json
 import random
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
@@ -60,11 +63,37 @@ def test_encode_and_decode_awkward_rows(spark):
     assert byte_bpe.encode(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_long_words_are_merged_like_the_library():
+    merges = byte_bpe.merges_of(RANKS)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges.ranks, special_tokens={})
+    rnd = random.Random(9)
+    for letters, size in (("ab", 3000), ("aeinrst", 3000), ("x", 5000), ("éñß", 2000)):
+        word = "".join(rnd.choice(letters) for _ in range(size))
+        assert merges.one_word(word.encode()) == library.encode_ordinary(word)
+    began = time.perf_counter()
+    merges.one_word(("".join(rnd.choice("aeinrst") for _ in range(100_000))).encode())
+    assert time.perf_counter() - began < 10
+
+
 def test_pieces_give_the_library_ids():
     library = Tokenizer.from_file(WORDS)
     texts = [*SAMPLE, *odd_texts(1500, 2), None, ""]
-    for t, ids in zip(texts, token_files.encode_texts(texts, WORDS), strict=True):
-        assert ids.tolist() == library.encode(t or "", add_special_tokens=False).ids, t
+    ids, counts = token_files.encode_texts(pa.array(texts), WORDS)
+    for t, found in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert found.tolist() == library.encode(t or "", add_special_tokens=False).ids, t
+
+
+def test_a_tokenizer_of_another_shape_gets_whole_texts(tmp_path):
+    with open(WORDS, encoding="utf-8") as f:
+        told = json.load(f)
+    told["normalizer"]["normalizers"].pop()  # no lower case
+    (tmp_path / "own.json").write_text(json.dumps(told), encoding="utf-8")
+    path = str(tmp_path / "own.json")
+    assert token_files.splits_at_space(WORDS) and not token_files.splits_at_space(path)
+    texts = [*SAMPLE, "A Word in CAPITALS.", None]
+    ids, counts = token_files.encode_texts(pa.array(texts), path)
+    library = Tokenizer.from_file(path)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_checksum_and_frames():
