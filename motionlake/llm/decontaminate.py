@@ -1,9 +1,9 @@
 """Benchmark decontamination: an FM-index per shard of documents, searched for the benchmark's word windows.
 
 A shard is a run of documents inside a task, of bounded size, so nothing is shuffled. The benchmark is a stated query
-set: its windows go to files in the shared folder, block by block of bounded size, and each task searches each of its
+set: tasks write its windows to files in the shared folder, blocks of bounded size, and each task searches each of its
 shards for one block after another. Words that no window of a block has are one symbol in its index, and a run of them
-is kept as a single one.
+is kept as a single one; windows of which the shard lacks a word aren't looked for.
 
 Words: A-Z in lower case, then runs of digits, letters a-z and characters from U+0080. A window is 13 consecutive words
 of an item; an item of fewer words, but not none, is one window.
@@ -17,21 +17,22 @@ from __future__ import annotations
 
 import io
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import new_folder, release
 from .files import file_system, open_file
 from .fm_index import FMIndex
 
 WINDOW = 13
 SHARD_WORDS = 1_500_000
 #: Benchmark words of one block of windows.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 2_000_000
 #: A document is contaminated if at least one word in so many is hit.
 ONE_IN = 20
 
@@ -61,27 +62,30 @@ def spans_of(text: str, hit: np.ndarray) -> list[dict[str, int]]:
 
 
 class Windows:
-    """The distinct windows of a block of items, as right-aligned rows of word numbers from 2; who has each window."""
+    """The windows of a block of items: word numbers (from 2) of all items end to end, and each window's place in them,
+    length and item."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
-        numbers: dict[bytes, int] = {}
-        rows: dict[tuple[int, ...], set[int]] = {}
+    ARRAYS = ("flat", "start", "length", "owner")
+
+    def __init__(self, items: Iterable[tuple[int, str | None]]):
+        self.number: dict[bytes, int] = {}
+        flat, start, length, owner, at = [], [], [], [], 0
         for item, text in items:
-            words = [numbers.setdefault(w, len(numbers) + 2) for w in words_of(text)]
-            for i in range(max(1, len(words) - WINDOW + 1) if words else 0):
-                rows.setdefault(tuple(words[i : i + WINDOW]), set()).add(item)
-        self.words = list(numbers)
-        self.lengths = np.array([len(r) for r in rows], dtype=np.int64)
-        self.phrases = np.zeros((len(rows), WINDOW), dtype=np.int64)
-        for i, r in enumerate(rows):
-            self.phrases[i, WINDOW - len(r) :] = r
-        self.owners = np.array([x for s in rows.values() for x in sorted(s)], dtype=np.int64)
-        self.first = np.append(0, np.cumsum([len(s) for s in rows.values()])).astype(np.int64)
+            words = np.array([self.number.setdefault(w, len(self.number) + 2) for w in words_of(text)], dtype=np.int32)
+            if n := len(words):
+                k = max(1, n - WINDOW + 1)
+                flat.append(words)
+                start.append(at + np.arange(k))
+                length.append(np.full(k, min(n, WINDOW)))
+                owner.append(np.full(k, item))
+                at += n
+        for name, parts, kind in zip(self.ARRAYS, (flat, start, length, owner), (np.int32, np.int64, np.int8, np.int64), strict=True):
+            setattr(self, name, np.concatenate([*parts, np.zeros(0)]).astype(kind))
 
     def save(self, uri: str) -> None:
         data = io.BytesIO()
-        words = np.frombuffer(b"\n".join(self.words), dtype=np.uint8)
-        np.savez(data, words=words, lengths=self.lengths, phrases=self.phrases, owners=self.owners, first=self.first)
+        words = np.frombuffer(b"\n".join(self.number), dtype=np.uint8)
+        np.savez(data, words=words, **{name: getattr(self, name) for name in self.ARRAYS})
         fs, path = file_system(uri)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         with fs.open_output_stream(path, compression=None) as out:
@@ -91,21 +95,40 @@ class Windows:
     def load(cls, uri: str) -> Windows:
         found = cls.__new__(cls)
         with open_file(uri) as f, np.load(io.BytesIO(f.readall())) as data:
-            found.lengths, found.phrases, found.owners, found.first = (data[k] for k in ("lengths", "phrases", "owners", "first"))
-            found.words = data["words"].tobytes().split(b"\n") if len(data["words"]) else []
-        found.number = {w: i + 2 for i, w in enumerate(found.words)}
+            for name in cls.ARRAYS:
+                setattr(found, name, data[name])
+            words = data["words"].tobytes().split(b"\n") if len(data["words"]) else []
+        found.number = {w: i + 2 for i, w in enumerate(words)}
         return found
 
+    def possible(self, there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows whose words are all there (by number): the distinct ones as right-aligned rows and their
+        lengths; and pairs of such a row and an item that has it, as rows of two, by row."""
+        seen = np.append(0, np.cumsum(there[self.flat]))
+        here = np.flatnonzero(seen[self.start + self.length] - seen[self.start] == self.length)
+        back = np.arange(-WINDOW, 0)
+        place = (self.start + self.length)[here][:, None] + back
+        rows = np.where(back >= -self.length[here][:, None], self.flat[np.maximum(place, 0)], 0).astype(np.int64)
+        rows, which = np.unique(rows, axis=0, return_inverse=True)
+        pairs = np.unique(np.column_stack([which.reshape(-1), self.owner[here]]), axis=0)
+        return rows, (rows > 0).sum(axis=1), pairs
+
 
 def window_blocks(benchmark: DataFrame, text: str = "text", item: str = "item_id") -> list[str]:
-    """Files of the benchmark's windows, made block by block."""
+    """Files of the benchmark's windows, a task making each; only their names come back."""
     rows = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("long").alias("item"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     count = 1 + size // (6 * BLOCK_WORDS)
     folder = new_folder(benchmark.sparkSession, "windows")
-    for k in range(count):
-        Windows([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item"), F.lit(count)) == k).collect()]).save(f"{folder}/{k}.npz")
-    return [f"{folder}/{k}.npz" for k in range(count)]
+
+    def run(group: pa.Table) -> pa.Table:
+        uri = f"{folder}/{uuid.uuid4().hex}.npz"
+        Windows(zip(group.column("item").to_pylist(), group.column("text").to_pylist(), strict=True)).save(uri)
+        release()
+        return pa.table({"uri": [uri]})
+
+    found = rows.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(count))).groupBy("block").applyInArrow(run, "uri string")
+    return sorted(r.uri for r in found.collect())
 
 
 def search_shard(docs: list[list[bytes]], windows: Windows) -> tuple[np.ndarray, list[set[int]]]:
@@ -114,10 +137,14 @@ def search_shard(docs: list[list[bytes]], windows: Windows) -> tuple[np.ndarray,
     ends = np.cumsum(sizes)
     total = int(ends[-1])
     found: list[set[int]] = [set() for _ in docs]
-    if not len(windows.phrases) or not total:
-        return np.zeros(total, dtype=bool), found
     get = windows.number.get
     number = np.fromiter((get(w, 1) for d in docs for w in d), dtype=np.int64, count=total)
+    there = np.zeros(len(windows.number) + 2, dtype=bool)
+    there[number] = True
+    there[:2] = False
+    phrases, lengths, owned = windows.possible(there)
+    if not len(phrases):
+        return np.zeros(total, dtype=bool), found
     # A break (symbol 1) stands for each run of other words and between documents.
     text = np.ones(total + len(docs), dtype=np.int64)
     place = np.arange(total) + np.repeat(np.arange(len(docs)), sizes)
@@ -126,8 +153,8 @@ def search_shard(docs: list[list[bytes]], windows: Windows) -> tuple[np.ndarray,
     word[place] = np.arange(total)
     kept = (text != 1) | np.append(True, text[:-1] != 1)
     text, word = text[kept], word[kept]
-    index = FMIndex(text, len(windows.words) + 1)
-    low, high = index.search(windows.phrases, windows.lengths)
+    index = FMIndex(text, len(windows.number) + 1)
+    low, high = index.search(phrases, lengths)
     here = np.flatnonzero(high > low)
     if not len(here):
         return np.zeros(total, dtype=bool), found
@@ -137,10 +164,11 @@ def search_shard(docs: list[list[bytes]], windows: Windows) -> tuple[np.ndarray,
     start = word[index.locate(rows)]
     edge = np.zeros(total + 1, dtype=np.int64)
     np.add.at(edge, start, 1)
-    np.add.at(edge, start + windows.lengths[which], -1)
-    pairs = np.unique(np.searchsorted(ends, start, side="right") * len(windows.lengths) + which)
-    for doc, w in zip((pairs // len(windows.lengths)).tolist(), (pairs % len(windows.lengths)).tolist(), strict=True):
-        found[doc].update(windows.owners[windows.first[w] : windows.first[w + 1]].tolist())
+    np.add.at(edge, start + lengths[which], -1)
+    first = np.searchsorted(owned[:, 0], np.arange(len(phrases) + 1))
+    pairs = np.unique(np.searchsorted(ends, start, side="right") * len(phrases) + which)
+    for doc, w in zip((pairs // len(phrases)).tolist(), (pairs % len(phrases)).tolist(), strict=True):
+        found[doc].update(owned[first[w] : first[w + 1], 1].tolist())
     return np.cumsum(edge)[:-1] > 0, found
 
 
@@ -168,6 +196,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
                 mine = hit[at : at + n]
                 rows.append((k, n, int(mine.sum()), sorted(s), spans_of(t, mine) if s else []))
                 at += n
+            release()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         keys, texts, words, size, schema = [], [], [], 0, None
