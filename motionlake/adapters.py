@@ -84,6 +84,64 @@ def quaternions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.struct(*part(0)).alias("q"), F.struct(*part(4)).alias("r"))
 
 
+#: Frames of an episode that the vectors stand for, and where in a vector hands, joints and objects begin.
+EPISODE_FRAMES = 50
+HANDS = {"left": 0, "right": 9}
+JOINTS = {"wrist": 0, "thumbTip": 3, "indexFingerTip": 6}
+OBJECTS = {"box": 54, "cup": 46}
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.transform("embedding", lambda x: x.cast("double")).alias("e")
+    frame = F.col("vec_id") % EPISODE_FRAMES
+    return table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / EPISODE_FRAMES).cast("long").alias("episode_id"), frame.alias("frame"), (frame / 30.0).alias("t"), e)
+
+
+def _point(at: Column) -> list[Column]:
+    return [F.get("e", at + i).alias(c) for i, c in enumerate(("px", "py", "pz"))]
+
+
+def hands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three joints of both hands in each frame, from parts of the vectors."""
+    which = F.explode(F.array(*[F.struct(F.lit(h).alias("hand"), F.lit(j).alias("joint_name"), F.lit(b + o).alias("at")) for h, b in HANDS.items() for j, o in JOINTS.items()]))
+    conf = F.least(F.lit(1.0), 0.4 + 2 * F.abs(F.get("e", F.col("w.at"))))
+    return _frames(spark, sf_dir).withColumn("w", which).select("episode_id", "frame", "t", "w.hand", "w.joint_name", *_point(F.col("w.at")), conf.alias("conf"))
+
+
+def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two objects, one of which is missing in some frames."""
+    which = F.explode(F.array(*[F.struct(F.lit(o).alias("object_id"), F.lit(b).alias("at")) for o, b in OBJECTS.items()]))
+    rows = _frames(spark, sf_dir).withColumn("w", which).where((F.col("w.object_id") == "cup") | (F.col("frame") % 7 != 3))
+    return rows.select("episode_id", "frame", "t", "w.object_id", *_point(F.col("w.at")), F.least(F.lit(1.0), 0.6 + F.abs(F.get("e", F.col("w.at") + 7))).alias("conf"))
+
+
+def body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pelvis and head, some milliseconds after the camera's frames; some frames aren't valid."""
+    which = F.explode(F.array(F.struct(F.lit("pelvis").alias("joint"), F.lit(20).alias("at")), F.struct(F.lit("head").alias("joint"), F.lit(23).alias("at"))))
+    x = [F.get("e", F.col("w.at") + i) for i in range(3)]
+    return _frames(spark, sf_dir).withColumn("w", which).select("episode_id", (F.col("t") + 0.004).alias("t"), "w.joint", x[0].alias("x"), x[1].alias("y"), (2 + x[2]).alias("z"), (F.col("frame") % 11 != 5).alias("valid"))
+
+
+def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Camera poses: q turns camera to world, raw is a quaternion as stored, next to the unit sphere."""
+    e = [F.get("e", F.lit(i)) for i in range(64)]
+    q = [F.lit(1.0), e[27] / 4, e[28] / 4, e[29] / 4]
+    size = F.sqrt(1 + q[1] * q[1] + q[2] * q[2] + q[3] * q[3])
+    part = lambda k: F.struct(*[(c / size * k).alias(n) for c, n in zip(q, "wxyz", strict=True)])
+    return _frames(spark, sf_dir).select("episode_id", "frame", "t", part(F.lit(1.0)).alias("q"), part(1 + e[30] / 200).alias("raw"), e[31].alias("px"), e[32].alias("py"), e[33].alias("pz"), (F.col("frame") % 13 != 6).alias("valid"))
+
+
+def cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed = {"fx": 1500.0, "fy": 1500.0, "cx": 320.0, "cy": 240.0, "width": 640.0, "height": 480.0}
+    return _frames(spark, sf_dir).select("episode_id").distinct().select("episode_id", *[F.lit(v).alias(k) for k, v in fixed.items()])
+
+
+def joints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three joints of a robot with their limits."""
+    which = F.posexplode(F.slice("e", 35, 3)).alias("joint", "q")
+    return _frames(spark, sf_dir).select("episode_id", "frame", "t", which).select("episode_id", "frame", "t", "joint", (3 * F.col("q")).alias("q"), F.lit(-0.9).alias("lo"), F.lit(0.9).alias("hi"))
+
+
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances of a hand to an object: a series of CONTACT_ROWS rows for each object."""
     return table(spark, sf_dir, "embeddings").select(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import documents, gate, lineage, reports, signals, streams, timeline
+from . import contracts, documents, gate, labels, lineage, manipulation, quality, reports, signals, streams, timeline
 
-PARTS = (gate, timeline, reports, documents, lineage, signals, streams)
+PARTS = (gate, timeline, manipulation, quality, contracts, labels, reports, documents, lineage, signals, streams)
 
 
 def queries() -> dict:
