@@ -183,7 +183,7 @@ def linked(docs: DataFrame, reps: DataFrame, text: str, key: str, similarity: fl
     mixed = written(rows.join(mixed_buckets(rows), "bucket").select("bucket", "id", "label"), "mixed")
     forget(members)
     members = mixed
-    stars = aligned(plausible(untried(star_pairs(members).distinct()), reps, similarity), "stars")
+    stars = aligned(untried(plausible(star_pairs(members).distinct(), reps, similarity)), "stars")
     gone = [known, stars]
     known, labels = written(known.unionByName(stars), "known"), merged(labels, stars.where(is_link(similarity)))
 

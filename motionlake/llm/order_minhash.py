@@ -22,7 +22,7 @@ SKETCHES = 64
 SHORT, LONG, SHORT_SKETCHES = 40, 32, 24
 SLICE_WORDS = 400_000
 #: Bins of a bag of words.
-BINS = 512
+BINS = 1024
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
