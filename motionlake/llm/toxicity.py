@@ -1,11 +1,12 @@
 """Toxicity: a learned lexicon in a trie, Levenshtein automata that catch its misspelled terms, and context windows.
 
 1. *Lexicon.* Over all labelled training rows, terms (words, and stems: what words begin with) are counted once for each
-   document that has them, and the terms that toxic documents have much oftener than others are kept, at most
-   ``MAX_TERMS`` of them. Of training rows with the same words one counts, and of near copies those that differ in one
-   of ``MINIMA`` least hashes, so that groups of copies don't put their own words in the lexicon.
-2. *Matches.* The lexicon is a trie, and holds the words that stems stand for as well, so their misspellings match too. A word that has no exact match is run through a Levenshtein automaton, state by
-   state beside the trie, so only branches that can still end within the allowed edits are entered.
+   text that has them, and the terms that toxic texts have much oftener than others are kept, ``MAX_TERMS`` at most (the
+   size of the model). Every distinct text counts; near copies, told by ``MINIMA`` least hashes, share one count, so
+   that groups of copies don't put their own words in the lexicon.
+2. *Matches.* The lexicon is a trie, and holds the words that stems stand for as well, so their misspellings match too.
+   A word that has no exact match is run through a Levenshtein automaton, state by state beside the trie, so only
+   branches that can still end within the allowed edits are entered.
 3. *Context windows.* A match with quotation marks on both sides nearby is a quotation, and a match with others around
    it is abuse: the features keep quoted and unquoted weight apart, as a total, a share and the densest window.
 4. *Score.* A logistic regression on these features, fitted on the training rows, or on ``MAX_FIT`` of them.
@@ -25,7 +26,7 @@ import hashlib
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,8 +35,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release, written
+
 #: Most terms of a lexicon, and about how many training rows the regression takes at most.
-MAX_TERMS = 2000
+MAX_TERMS = 10_000
 MAX_FIT = 50_000
 #: Labels that a broadcast join may carry; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
@@ -50,7 +53,6 @@ MINIMA = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uin
 SHORT_TEXT = 20
 FEATURES = 7
 TOXIC_AT = 0.7
-COUNTER_WORDS = 400_000
 MEMO_WORDS = 1_000_000
 
 QUOTES = frozenset('"“”«»„')
@@ -209,47 +211,49 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str, key: str, label
     return docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(known, "__key")
 
 
-def signature(text: str | None) -> int:
-    """Equal for equal words, and often for near copies: the least hashes of the pairs of neighbouring words under
-    several orders. Short texts have a hash of all their words."""
-    words = tokens_of(text)
+def signatures(words: list[str]) -> tuple[int, int]:
+    """Hashes of a text's words: one is equal for equal words only, the other for most near copies too: the least hashes
+    of the pairs of neighbouring words under several orders. Short texts have the first one twice."""
+    sign = lambda said: int.from_bytes(hashlib.blake2b(said, digest_size=8).digest(), "little", signed=True)
+    exact = sign(" ".join(words).encode())
     if len(words) < SHORT_TEXT:
-        said = " ".join(words).encode()
-    else:
-        h = np.array([zlib.crc32(f"{a} {b}".encode()) for a, b in set(zip(words, words[1:], strict=False))], dtype=np.uint64)
-        least = []
-        for m in MINIMA:
-            x = (h * m) & np.uint64(0xFFFFFFFF)
-            x = ((x ^ (x >> np.uint64(15))) * m) & np.uint64(0xFFFFFFFF)
-            least.append(x.min())
-        said = np.array(least).tobytes()
-    return int.from_bytes(hashlib.blake2b(said, digest_size=8).digest(), "little", signed=True)
-
-
-def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sign = pa.array([signature(t) for t in batch.column(1).to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), sign, *batch.columns[2:]], names=["__key", "sign", "__toxic", "__tx"])
-
-
-def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts: how many toxic and other documents have each word."""
-    counts = (Counter(), Counter())
-
-    def flush() -> pa.RecordBatch:
-        rows = [(w, n, k) for k, c in enumerate(counts) for w, n in c.items()]
-        for c in counts:
-            c.clear()
-        words, n, toxic = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(words), pa.array(n, pa.int64()), pa.array(toxic, pa.int32())], names=["word", "n", "toxic"])
-
-    for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[toxic > 0].update(set(tokens_of(text)) - QUOTES)
-            if sum(map(len, counts)) > COUNTER_WORDS:
-                yield flush()
-    if any(counts):
-        yield flush()
+        return exact, exact
+    h = np.array([zlib.crc32(f"{a} {b}".encode()) for a, b in set(zip(words, words[1:], strict=False))], dtype=np.uint64)
+    least = []
+    for m in MINIMA:
+        x = (h * m) & np.uint64(0xFFFFFFFF)
+        x = ((x ^ (x >> np.uint64(15))) * m) & np.uint64(0xFFFFFFFF)
+        least.append(x.min())
+    return exact, sign(np.array(least).tobytes())
+
+
+def read_words(train: DataFrame) -> DataFrame:
+    """exact and near (signatures), toxic and the distinct words of each training row."""
+    schema = pa.schema([("exact", pa.int64()), ("near", pa.int64()), ("toxic", pa.int32()), ("words", pa.list_(pa.string()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = tokens_of(text)
+                rows.append((*signatures(words), toxic, sorted(set(words) - QUOTES)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        release()
+
+    return train.select("__text", "__toxic").mapInArrow(run, "exact long, near long, toxic int, words array<string>")
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """word, t and c: how many toxic and other texts have each word, of rows as ``read_words`` makes them.
+
+    Of texts with the same words one counts; near copies count as one together, each for its share.
+    """
+    texts = rows.dropDuplicates(["exact", "toxic"])
+    sizes = rows.select("exact", "near", "toxic").distinct().groupBy("near", "toxic").agg((1.0 / F.count("*")).alias("share"))
+    each = texts.join(sizes, ["near", "toxic"]).select("toxic", "share", F.explode("words").alias("word"))
+    part = lambda k: F.sum(F.when(F.col("toxic") == k, F.col("share")).otherwise(0.0))
+    return each.groupBy("word").agg(part(1).alias("t"), part(0).alias("c"))
 
 
 def choose_terms(rows: list[tuple[str, bool, float, float]], least: float) -> list[tuple[str, bool, float]]:
@@ -264,13 +268,16 @@ def choose_terms(rows: list[tuple[str, bool, float, float]], least: float) -> li
                 largest[t[:n]] = max(largest[t[:n]], g)
     kept: list[tuple[str, bool, float]] = []
     stems: set[str] = set()
+    heads: set[str] = set()  # what stems begin with
+    begins = lambda t: any(t[:n] in stems for n in range(STEM[0], STEM[1] + 1))
     for t, stem, g, w in sorted(rows, key=lambda r: (-r[2], not r[1], r[0])):
         if len(kept) < MAX_TERMS and g >= least:
-            if stem and g > 0.8 * below[t] and g > 1.5 * largest[t] and not any(t.startswith(s) or s.startswith(t) for s in stems):
+            if stem and g > 0.8 * below[t] and g > 1.5 * largest[t] and not begins(t) and t not in heads:
                 stems.add(t)
+                heads.update(t[:n] for n in range(STEM[0], len(t) + 1))
                 kept.append((t, True, w))
     for t, stem, g, w in sorted(rows, key=lambda r: (-r[2], r[0])):
-        if len(kept) < MAX_TERMS and g >= least and not stem and not any(len(t) > len(s) and t.startswith(s) for s in stems):
+        if len(kept) < MAX_TERMS and g >= least and not stem and not any(t[:n] in stems for n in range(STEM[0], min(STEM[1], len(t) - 1) + 1)):
             kept.append((t, False, w))
     return kept
 
@@ -281,13 +288,7 @@ def covered_words(rows: list[tuple[str, bool, float, float]], stems: dict[str, f
 
 
 def learn_lexicon(train: DataFrame) -> Lexicon:
-    train = train.withColumn("__tx", F.xxhash64("__text"))
-    rows = train.mapInArrow(signatures, f"__key {train.schema['__key'].dataType.simpleString()}, sign long, __toxic int, __tx long")
-    chosen = rows.groupBy("sign", "__toxic").agg(F.min(F.struct("__key", "__tx")).alias("r")).select("r.__key", "r.__tx")
-    texts = train.join(chosen, ["__key", "__tx"], "left_semi").dropDuplicates(["__key", "__tx"]).select("__text", "__toxic")
-    words = texts.mapInArrow(word_counts, "word string, n long, toxic int").groupBy("word").agg(
-        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c")
-    )
+    words = written(word_counts(written(read_words(train), "toxic-texts")), "toxic-words")
     terms = words.select("t", "c", F.explode(F.concat(F.array(F.struct(F.col("word").alias("term"), F.lit(False).alias("stem"))), F.transform(
         F.filter(F.sequence(F.lit(STEM[0]), F.lit(STEM[1])), lambda n: n < F.length("word")), lambda n: F.struct(F.substring(F.col("word"), F.lit(1), n).alias("term"), F.lit(True).alias("stem"))
     ))).alias("x")).groupBy("x.term", "x.stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
@@ -297,7 +298,7 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
         return Lexicon({}, {})
     t, c, share = F.col("t"), F.col("c"), all_t / (all_t + all_c)
     part = lambda n, p: F.when(n > 0, n * F.log(n / ((t + c) * p))).otherwise(0.0)
-    scored = terms.where((t >= 3) & (t * all_c > RATIO * c * all_t) & (F.length("term") >= STEM[0])).select(
+    scored = terms.where((t > 2.5) & (t * all_c > RATIO * c * all_t) & (F.length("term") >= STEM[0])).select(
         "term", "stem", (2 * (part(t, share) + part(c, 1 - share))).alias("gain"), F.log(((t + 0.5) / all_t) / ((c + 0.5) / all_c)).alias("weight")
     )
     best = [tuple(r) for r in scored.orderBy(F.desc("gain"), "term", "stem").limit(8 * MAX_TERMS).collect()]
@@ -347,5 +348,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
         for batch in batches:
             x = np.array([reader.features(t) for t in batch.column(1).to_pylist()]).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x), pa.float64())], names=[key, "score"])
+        release()
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from helpers import awkward, documents
 from pyspark.sql import functions as F
 
@@ -81,8 +82,22 @@ def test_distinct_texts_with_a_common_pair_of_words_all_count():
     rnd = random.Random(6)
     low = min(("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(20000)), key=lambda w: zlib.crc32(f"{w} zz".encode()))
     texts = [" ".join([low, "zz", *("".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(40))]) for _ in range(50)]
-    assert len({T.signature(t) for t in texts}) == 50
-    assert T.signature(texts[0].upper() + " !") == T.signature(texts[0])
+    assert len({T.signatures(T.tokens_of(t)) for t in texts}) == 50
+    assert T.signatures(T.tokens_of(texts[0].upper() + " !")) == T.signatures(T.tokens_of(texts[0]))
+
+
+def test_every_distinct_text_counts(spark):
+    rnd = random.Random(7)
+    texts = [" ".join(["common", *("".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(60))]) for _ in range(40)]
+    base = [("".join(rnd.choice("stuvw") for _ in range(6))) for _ in range(400)]
+    near = [" ".join([*base[:200], "edit" + "abcdef"[k], *base[200:]]) for k in range(6)]
+    rows = [(t, 0) for t in texts] + [(texts[0].upper(), 0)] + [(t, 1) for t in near] + [("short", 1), ("brief", 1), ("", 1), (None, 0)]
+    read = T.read_words(spark.createDataFrame(rows, "__text string, __toxic int"))
+    counts = {r.word: (r.t, r.c) for r in T.word_counts(read).collect()}
+    assert counts["common"] == (0, 40)
+    groups = len({T.signatures(T.tokens_of(t))[1] for t in near})
+    assert groups < 6 and counts[base[0]][0] == pytest.approx(groups) and sum(counts["edit" + c][0] for c in "abcdef") == pytest.approx(groups)
+    assert counts["short"] == counts["brief"] == (1, 0)
 
 
 def test_held_out_accuracy(spark):
