@@ -2,8 +2,8 @@
 
 The base patterns (assignments, access keys, hexadecimal runs) are always reported. Beside them a candidate is a run of
 16 or more key characters that holds a digit and a letter and stands after a sensitive word. Its novelty is the number
-of bytes that it adds to the compressed size of its surroundings, under a dictionary of common identifiers; a candidate
-that adds at least ``NOVELTY`` bytes a character can't be pieced together from code and identifiers and is reported as
+of bytes that it adds to the compressed size of its surroundings without other copies of it, under a dictionary of common
+identifiers (a fixed list, IDENTIFIERS); a candidate that adds at least ``NOVELTY`` bytes a character can't be pieced together from code and identifiers and is reported as
 ``novel``. All of it is local to a document: no shuffle, and a lost task is simply run again.
 
 Positions are code points of the whole text; an assignment's span is the whole match.
@@ -94,7 +94,8 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         if b < len(quiet) and quiet[b][0] < m.end() or not MIXED.match(m[0]):
             continue
         if SENSITIVE.search(text, max(0, m.start() - REACH), m.start()):
-            before, after = text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND]
+            # Other copies of the candidate don't explain it.
+            before, after = (part.replace(m[0], " ") for part in (text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND]))
             if novelty(before, m[0], after) >= NOVELTY:
                 spans.append((m.start(), 3, m.end()))
     return spans

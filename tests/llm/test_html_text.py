@@ -49,6 +49,59 @@ def test_layout(page, text):
     assert H.text_of(page)[0] == text
 
 
+def plain_page(rnd):
+    """A random well-formed page and its text, laid out by rules of its own: (lines, has margins) for each block."""
+    word = lambda: rnd.choice(["alpha", "be", "gamma", "d", "épsilon", "zeta9"])
+    words = lambda: " ".join(word() for _ in range(rnd.randint(1, 6)))
+
+    def inline():
+        shown, source = [], []
+        for _ in range(rnd.randint(1, 3)):
+            w = words()
+            tag = rnd.choice(["b", "span", "i", ""])
+            shown.append(w)
+            source.append(f"<{tag}>{w}</{tag}>" if tag else w)
+        return " ".join(source), " ".join(shown)
+
+    def block(depth):
+        kind = rnd.choice(["p", "div", "h2", "ul", "ol", "table", "section" if depth else "p"])
+        if kind in ("p", "div", "h2"):
+            source, shown = inline()
+            return f"<{kind}>{source}</{kind}>", [shown], kind != "div"
+        if kind in ("ul", "ol"):
+            items = [inline() for _ in range(rnd.randint(1, 4))]
+            lines = [f"{'-' if kind == 'ul' else f'{i + 1}.'} {shown}" for i, (_, shown) in enumerate(items)]
+            return f"<{kind}>" + "".join(f"<li>{source}</li>" for source, _ in items) + f"</{kind}>", lines, True
+        if kind == "table":
+            n = rnd.randint(1, 4)
+            rows = [[words() for _ in range(n)] for _ in range(rnd.randint(1, 4))]
+            width = [max(len(r[k]) for r in rows) for k in range(n)]
+            lines = ["  ".join(c.ljust(w) for c, w in zip(r, width, strict=True)).rstrip() for r in rows]
+            return "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows) + "</table>", lines, True
+        source, lines = [], []
+        for k, (s, part, margin) in enumerate(parts := [block(0) for _ in range(rnd.randint(1, 3))]):
+            source.append(s)
+            lines += [""] * bool(k and (margin or parts[k - 1][2])) + part
+        first, last = parts[0][2], parts[-1][2]
+        return f"<section>{''.join(source)}</section>", lines, (first, last)
+
+    source, lines, before = [], [], False
+    for k in range(rnd.randint(1, 7)):
+        s, part, margin = block(1)
+        first, last = margin if isinstance(margin, tuple) else (margin, margin)
+        source.append(s)
+        lines += [""] * bool(k and (before or first)) + part
+        before = last
+    return "\n".join(source), "\n".join(lines)
+
+
+def test_well_formed_pages_are_laid_out_by_plain_rules():
+    rnd = random.Random(12)
+    for _ in range(400):
+        page, text = plain_page(rnd)
+        assert H.text_of(page)[0] == text, page
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_no_text_is_lost_in_any_soup(seed):
     rnd = random.Random(seed)
