@@ -1,7 +1,9 @@
 """Drop the boilerplate of a site: lines that a large share of the host's pages carry.
 
 DataFrame expressions only. Line counts are pre-aggregated on (host, line hash); what comes back to the documents is,
-for each of them, the set of its own dropped line hashes, so the text itself is shuffled once and no group is gathered.
+for each of them, the places of its own dropped lines, so the text itself is shuffled once and no group is gathered.
+Lines meet the boilerplate by hash: a line that very many pages have is split over tasks by adaptive execution, as
+nothing is gathered by that key.
 
 Edge cases: null text stays null; blank lines are kept; a null host is a host of its own; exact copies of a page count
 once both in a line's pages and in the host's total, so copies alone never make a line boilerplate; repeated rows are
@@ -15,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .line_quality import SPACE_CHARS, line_counts, line_rows, normal_line, row_key
+from .line_quality import dropped_lines, line_counts, row_key, without_lines
 
 
 @dataclass(frozen=True)
@@ -33,29 +35,14 @@ def boilerplate_lines(docs: DataFrame, rules: SiteRules = SiteRules(), text: str
 
 def drop_boilerplate(docs: DataFrame, rules: SiteRules = SiteRules(), text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
     """docs with the text cleaned, and __n_lines and __n_dropped."""
-    columns = [c for c in docs.columns if c != text]
     rk = row_key(text, host, key)
-    dropped = (
-        line_rows(docs, text, host, {"__rk": rk})
-        .select("__rk", "__h")
-        .join(boilerplate_lines(docs, rules, text, host), "__h")
-        .groupBy("__rk")
-        .agg(F.collect_set("__h").alias("__drop"))
-    )
-    joined = docs.withColumn("__rk", rk).join(dropped.withColumnRenamed("__rk", "__rk2"), F.col("__rk") == F.col("__rk2"), "left")
-    blank = lambda line: F.length(F.translate(line, SPACE_CHARS, "")) == 0
-    lines = F.split(F.col(text), "\n")
-    kept = F.filter(lines, lambda s: blank(s) | ~F.array_contains("__drop", F.xxhash64(F.col(host), normal_line(s))))
-    sized = joined.select(
-        *columns,
-        text,
-        F.coalesce(F.size(lines), F.lit(0)).alias("__n_lines"),
-        F.when(F.col("__drop").isNotNull(), kept).alias("__kept"),
-    )
-    return sized.select(
-        *[F.when(F.col("__kept").isNull(), F.col(text)).otherwise(F.array_join("__kept", "\n")).alias(text) if c == text else F.col(c) for c in docs.columns],
-        F.when(F.col(text).isNull(), 0).otherwise(F.col("__n_lines")).cast("long").alias("__n_lines"),
-        F.when(F.col("__kept").isNull(), 0).otherwise(F.col("__n_lines") - F.size("__kept")).cast("long").alias("__n_dropped"),
+    drop = dropped_lines(docs, boilerplate_lines(docs, rules, text, host), rk, text, host)
+    joined = docs.withColumn("__rk", rk).join(drop, F.col("__rk") == F.col("__rk2"), "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return joined.select(
+        *[without_lines(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns],
+        count(F.size(F.split(F.col(text), "\n"))).alias("__n_lines"),
+        count(F.size("__drop")).alias("__n_dropped"),
     )
 
 

@@ -106,6 +106,20 @@ def frequent_lines(docs: DataFrame, rules: LineRules, text: str, host: str) -> D
     return counts.where((F.col("n_docs") > rules.max_docs) & (F.col("n_docs") > rules.max_host_share * F.col("host_docs"))).select("__h")
 
 
+def dropped_lines(docs: DataFrame, lines: DataFrame, rk: Column, text: str, host: str) -> DataFrame:
+    """__rk2 and __drop: for each row that has any of the lines (__h), their places in its text."""
+    found = line_rows(docs, text, host, {"__rk2": rk}).select("__rk2", "__i", "__h").join(lines, "__h")
+    return found.groupBy("__rk2").agg(F.collect_set("__i").alias("__drop"))
+
+
+def without_lines(text: Column) -> Column:
+    """The text less the lines at __drop (null: as it is). Places are set against each other by hash, so long texts with
+    many such lines take no longer a line than others."""
+    lines = F.split(text, "\n")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop")), lambda i: F.get(lines, i))
+    return F.when(F.col("__drop").isNull(), text).otherwise(F.array_join(kept, "\n"))
+
+
 def quality_verdicts(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
     """key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words, kept and __rk."""
     frequent = frequent_lines(docs, rules, text, host)
@@ -140,13 +154,9 @@ def keep_good(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text
     """The documents that no rule rejects, without their frequent lines, with all their columns."""
     rk = row_key(text, host, key)
     bad = quality_verdicts(docs, rules, text, host, key).where(~F.col("kept")).select(F.col("__rk").alias("__bad")).distinct()
-    drop = line_rows(docs, text, host, {"__rk2": rk}).select("__rk2", "__h").join(frequent_lines(docs, rules, text, host), "__h")
-    drop = drop.groupBy("__rk2").agg(F.collect_set("__h").alias("__drop"))
+    drop = dropped_lines(docs, frequent_lines(docs, rules, text, host), rk, text, host)
     good = docs.withColumn("__rk", rk).join(bad, F.col("__rk") == F.col("__bad"), "left_anti")
-    good = good.join(drop, F.col("__rk") == F.col("__rk2"), "left")
-    gone = lambda s: (F.length(F.translate(s, SPACE_CHARS, "")) > 0) & F.array_contains("__drop", F.xxhash64(F.col(host), normal_line(s)))
-    clean = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda s: ~gone(s)), "\n")
-    good = good.withColumn("__clean", F.when(F.col("__drop").isNull(), F.col(text)).otherwise(clean))
+    good = good.join(drop, F.col("__rk") == F.col("__rk2"), "left").withColumn("__clean", without_lines(F.col(text)))
     new = {text: F.col("__clean")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("__drop").isNull(), F.col("n_chars")).otherwise(F.length("__clean")).cast(docs.schema["n_chars"].dataType)

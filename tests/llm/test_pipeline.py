@@ -103,3 +103,44 @@ def test_pipeline_equals_the_plain_version(spark, tmp_path):
 
 def test_stages_are_named_and_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near copies", "benchmark", "tokens"]
+
+
+def through(spark, docs, folder):
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+    return docs
+
+
+def test_awkward_rows_pass_all_stages(spark, tmp_path):
+    rnd = random.Random(5)
+    passage = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    good = [passage(80) for _ in range(6)]
+    item = passage(40)
+    rows = [
+        (1, good[0], "en", "s0", 1),
+        (1, good[0], "en", "s0", 1),  # a repeated row
+        (None, good[1], None, None, None),  # nulls in every column but the text
+        (3, None, "en", "s0", 0),
+        (4, "", "en", None, 0),
+        (5, good[2], "en", None, 5),
+        (6, good[2].upper(), "en", "s1", 6),  # a copy
+        (7, passage(60) + "\n" + item + "\n" + passage(20), "en", "s1", 7),  # holds a benchmark item
+        (8, " ".join(f"w{i}" for i in range(40_000)), "en", "s0", 8),  # very long, of distinct words
+        (9, good[3], "en", "s0", 9),
+        (9, good[4], "en", "s0", 9),  # two texts of one key
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema).selectExpr("*", "1 AS id", "2 AS class_id", "'x' AS kept", "3 AS n", "4 AS label", "5 AS spans", "6 AS line")
+    spark.createDataFrame([(1, item), (None, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+    found = through(spark, docs, str(tmp_path)).collect()
+    # Two texts of a key are one class, so one of them stays; rows without a key stay.
+    assert sorted(str(r.doc_id) for r in found) == ["1", "5", "8", "9", "None"]
+    assert through(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_empty_tables(spark, tmp_path):
+    documents(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
