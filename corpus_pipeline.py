@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages over documents, each written and read again before the next."""
+"""The corpus pipeline: stages over documents, each written and read again before the next.
+
+Edge cases follow those of the operators: documents without a text are rejected by the quality rules; rows without a key are
+judged like others, but never as copies; repeated rows are one document, and of several texts of a key one stays; an empty
+table gives no rows, and an empty benchmark hits nothing; other columns, whatever their names, pass all stages but the last.
+"""
 
 from __future__ import annotations
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import contracts, documents, gate, labels, lineage, manipulation, motion, quality, reports, signals, streams, timeline
+from . import contracts, documents, export, gate, labels, lineage, manipulation, motion, quality, reports, signals, streams, timeline
 
-PARTS = (gate, timeline, manipulation, motion, quality, contracts, labels, reports, documents, lineage, signals, streams)
+PARTS = (gate, timeline, manipulation, motion, quality, contracts, labels, export, reports, documents, lineage, signals, streams)
 
 
 def queries() -> dict:

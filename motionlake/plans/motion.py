@@ -56,7 +56,7 @@ def violation_banner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def energy_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = adapters.table(spark, sf_dir, "events")
-    return rounded(M.energy(events, ["user_id"], "event_id", "value", 8), 3, "energy")
+    return rounded(M.energy(events, ["user_id"], "event_id", "value", 7), 5, "energy")
 
 
 def _logs(spark, sf_dir):
@@ -130,7 +130,7 @@ def oracle_sql() -> dict[str, str]:
             h AS (SELECT user_id, event_type, count(*) AS n, max(conf) AS m FROM r GROUP BY ALL), s AS (SELECT user_id, event_type, list_sort(list(DISTINCT CAST(floor(t) AS BIGINT)))[1:{M.SECONDS_SHOWN}] AS s FROM r WHERE conf >= {M.STRONG} GROUP BY ALL)
             SELECT user_id, event_type, coalesce(n, 0) AS n_hits, coalesce(round(m, 3), 0) AS max_conf, coalesce(array_to_string(s, ','), '') AS present_seconds, CASE WHEN s IS NOT NULL THEN 'present' WHEN n > 0 THEN 'weak_evidence' ELSE 'not_found' END AS verdict FROM q LEFT JOIN h USING (user_id, event_type) LEFT JOIN s USING (user_id, event_type)""",
         "violation_banner": "SELECT user_id, datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) + k AS frame, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types FROM events, range(4) r(k) WHERE event_type IN ('error', 'signup') GROUP BY ALL",
-        "energy_envelope": "SELECT user_id, event_id, round(e, 3) AS energy FROM (SELECT user_id, event_id, sum(value * value) OVER w / 8 AS e, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)) WHERE n = 8",
+        "energy_envelope": "SELECT user_id, event_id, round(e, 5) AS energy FROM (SELECT user_id, event_id, sum(value * value) OVER w / 7 AS e, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING)) WHERE n = 7",
         "circuit_status": f"""WITH c AS (SELECT unnest({M.CIRCUIT}) AS stage, unnest(range({len(M.CIRCUIT)})) AS i),
             l AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN CASE WHEN user_id % 3 = 0 THEN 'error' ELSE 'info' END WHEN event_type = 'view' THEN 'warn' ELSE 'info' END AS level, coalesce(CASE WHEN event_id % 17 = 0 THEN 'verifier' WHEN event_id % 19 = 0 THEN 'canvas' END, '') AS agent, ({messages})[event_id % {len(MESSAGES)} + 1] AS message FROM events WHERE event_id % 40 < 8),
             s AS (SELECT l.*, st.stage, c.i FROM (SELECT *, {stage} AS stage FROM l) st JOIN c USING (stage) JOIN l USING (user_id, event_id)),
