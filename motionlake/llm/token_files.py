@@ -141,6 +141,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NOT_LATIN = r"[^\x00-\x{ff}]"
 #: A mark that ends a word after a letter; PATTERN parts the two too.
 END_MARK = r"([a-zß-öø-ÿ])([.,;:!?])(\s|$)"
+#: Pieces of one call of the library.
+PIECES_AT_ONCE = 2000
 #: Separators that white space at large counts but the library's pattern doesn't.
 SEPARATORS = r"[\x1c-\x1f]"
 
@@ -174,14 +176,14 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     texts = pc.fill_null(texts, "")
     if not splits_at_space(path):
         return lists_end_to_end([e.ids for e in encoder.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)])
-    whole = pc.match_substring_regex(texts, SEPARATORS)
-    for t in encoder.get_added_tokens_decoder().values():
-        whole = pc.or_(whole, pc.match_substring(texts, t.content))
-    rest = pc.if_else(whole, "", texts)
-    rest = pc.if_else(pc.match_substring_regex(rest, NOT_LATIN), rest, pc.utf8_lower(rest))
+    whole, folded = pc.match_substring_regex(texts, SEPARATORS), pc.utf8_lower(texts)
+    for t in encoder.get_added_tokens_decoder().values():  # in any case of letters, as folding must not make one
+        whole = pc.or_(whole, pc.match_substring(folded, t.content.lower()))
+    rest = pc.if_else(pc.match_substring_regex(texts, NOT_LATIN), texts, folded)
+    rest = pc.if_else(whole, "", rest)
     pieces = pc.utf8_split_whitespace(pc.replace_substring_regex(rest, END_MARK, r"\1 \2\3"))
     coded = pieces.flatten().dictionary_encode()
-    known, lengths = lists_end_to_end([e.ids for e in encoder.encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)])
+    known, lengths = encode_pieces(coded.dictionary.to_pylist(), path)
     which = coded.indices.to_numpy()
     sizes, starts = lengths[which], (np.cumsum(lengths) - lengths)[which]
     before = np.append(0, np.cumsum(sizes))
@@ -194,6 +196,23 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, counts
 
 
+def encode_pieces(pieces: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of pieces without special tokens. Many go in at once with a special token between them, which the library
+    takes out before all else: a call and a result for each piece would take longer than the encoding."""
+    encoder = tokenizer(path)
+    plain = [(t.content, i) for i, t in encoder.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+    if not plain:
+        return lists_end_to_end([e.ids for e in encoder.encode_batch_fast(pieces, add_special_tokens=False)])
+    mark, number = plain[0]
+    found = [np.zeros(0, dtype=np.uint32)]
+    for lo in range(0, len(pieces), PIECES_AT_ONCE):
+        (done,) = encoder.encode_batch_fast([mark.join(pieces[lo : lo + PIECES_AT_ONCE]) + mark], add_special_tokens=False)
+        found.append(np.array(done.ids, dtype=np.uint32))
+    ids = np.concatenate(found)
+    marks = ids == number
+    return ids[~marks], np.diff(np.append(-1, np.flatnonzero(marks))) - 1
+
+
 def lists_end_to_end(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.array([len(x) for x in lists], dtype=np.int64)
     return np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(counts.sum())), counts

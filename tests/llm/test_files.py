@@ -77,7 +77,7 @@ def test_long_words_are_merged_like_the_library():
 
 def test_pieces_give_the_library_ids():
     library = Tokenizer.from_file(WORDS)
-    texts = [*SAMPLE, *odd_texts(1500, 2), None, ""]
+    texts = [*SAMPLE, *odd_texts(1500, 2), None, "", "a <|ENDOFTEXT|> b", "İ<|EndOfText|>", "x <|endoftext|>. y", "<|startoftext|>"]
     ids, counts = token_files.encode_texts(pa.array(texts), WORDS)
     for t, found in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
         assert found.tolist() == library.encode(t or "", add_special_tokens=False).ids, t
