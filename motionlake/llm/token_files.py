@@ -141,8 +141,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NOT_LATIN = r"[^\x00-\x{ff}]"
 #: A mark that ends a word after a letter; PATTERN parts the two too.
 END_MARK = r"([a-zß-öø-ÿ])([.,;:!?])(\s|$)"
-#: Pieces of one call of the library.
+#: Pieces of one call of the library, and pieces that a worker remembers.
 PIECES_AT_ONCE = 2000
+MEMO = 700_000
 #: Separators that white space at large counts but the library's pattern doesn't.
 SEPARATORS = r"[\x1c-\x1f]"
 
@@ -183,9 +184,9 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     rest = pc.if_else(whole, "", rest)
     pieces = pc.utf8_split_whitespace(pc.replace_substring_regex(rest, END_MARK, r"\1 \2\3"))
     coded = pieces.flatten().dictionary_encode()
-    known, lengths = encode_pieces(coded.dictionary.to_pylist(), path)
+    known, begin, length = met(path).places(coded.dictionary.to_pylist(), path)
     which = coded.indices.to_numpy()
-    sizes, starts = lengths[which], (np.cumsum(lengths) - lengths)[which]
+    sizes, starts = length[which], begin[which]
     before = np.append(0, np.cumsum(sizes))
     ids = known[np.repeat(starts - before[:-1], sizes) + np.arange(before[-1])]
     edges = before[np.append(0, np.cumsum(pc.list_value_length(pieces).to_numpy()))]
@@ -196,6 +197,31 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, counts
 
 
+class Met:
+    """Ids of the pieces that a worker has met lately, MEMO of them about: most of a block's were in those before it."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.ids, self.lengths = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+
+    def places(self, pieces: list[str], path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, and where those of each piece begin and how many they are."""
+        if len(self.number) > MEMO:
+            self.__init__()
+        number = self.number
+        if new := [p for p in pieces if p not in number]:
+            ids, lengths = encode_pieces(new, path)
+            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+            self.ids, self.lengths = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, lengths])
+        at = np.fromiter(map(number.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        return self.ids, (np.cumsum(self.lengths) - self.lengths)[at], self.lengths[at]
+
+
+@lru_cache(1)
+def met(path: str) -> Met:
+    return Met()
+
+
 def encode_pieces(pieces: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of pieces without special tokens. Many go in at once with a special token between them, which the library
     takes out before all else: a call and a result for each piece would take longer than the encoding."""

@@ -75,9 +75,12 @@ def test_long_words_are_merged_like_the_library():
     assert time.perf_counter() - began < 10
 
 
-def test_pieces_give_the_library_ids():
+@pytest.mark.parametrize("memo", [700_000, 50])
+def test_pieces_give_the_library_ids(monkeypatch, memo):
+    monkeypatch.setattr(token_files, "MEMO", memo)
     library = Tokenizer.from_file(WORDS)
     texts = [*SAMPLE, *odd_texts(1500, 2), None, "", "a <|ENDOFTEXT|> b", "İ<|EndOfText|>", "x <|endoftext|>. y", "<|startoftext|>"]
+    token_files.encode_texts(pa.array(texts[:20]), WORDS)
     ids, counts = token_files.encode_texts(pa.array(texts), WORDS)
     for t, found in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
         assert found.tolist() == library.encode(t or "", add_special_tokens=False).ids, t
