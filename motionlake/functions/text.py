@@ -91,13 +91,29 @@ def seconds_text(s: Column) -> Column:
     return F.when(s < 90, F.concat(whole.cast("string"), F.lit("s"))).otherwise(F.format_string("%dm %02ds", F.floor(whole / 60).cast("long"), whole % 60))
 
 
-def append_once(text: Column, clause: str) -> Column:
-    return F.when(F.contains(text, F.lit(clause)), text).otherwise(F.concat(F.rtrim(text), F.lit(" " + clause)))
+def rate_text(value: Column) -> Column:
+    """Whole numbers with separators from 10 on, else one decimal; 0 for what is no number."""
+    good = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+    return F.when(good.isNull(), "0").when(good >= 10, F.format_number(F.floor(good + 0.5), 0)).otherwise(F.format_number(good, 1))
 
 
-def fingerprint(*columns: Column) -> Column:
-    """SHA-256 of the columns as JSON with sorted names."""
-    return F.sha2(F.to_json(F.struct(*columns)), 256)
+def cam_spec(spec: Column) -> Column:
+    """Camera and path of "camera:path", parted at the first colon; null without one."""
+    parts = F.split(spec, ":", 2)
+    return F.when(F.contains(spec, F.lit(":")), F.struct(F.trim(F.get(parts, F.lit(0))).alias("cam_id"), F.trim(F.get(parts, F.lit(1))).alias("path")))
+
+
+def job_id(prompt: Column, at: Column) -> Column:
+    """A job's id: 24 characters of the prompt, and six of a hash of prompt and time."""
+    s = F.left(F.regexp_replace(F.regexp_replace(F.lower(prompt), "[^a-z0-9]+", "_"), "^_+|_+$", ""), F.lit(24))
+    return F.concat_ws("_", F.coalesce(F.nullif(s, F.lit("")), F.lit("job")), F.left(F.sha2(F.concat_ws(":", prompt, at), 256), F.lit(6)))
+
+
+def variant_prompt(base: Column, camera: Column, lighting: Column, time_of_day: Column) -> Column:
+    """An event's prompt from a camera's view: sentences without dots at their ends, then how it is lit and shot."""
+    bare = lambda c: F.regexp_replace(c, r"[. ]+$", "")
+    view = F.when(F.length(F.coalesce(camera, F.lit(""))) > 0, F.concat(F.lit(". "), bare(camera))).otherwise("")
+    return F.concat(bare(base), view, F.lit(". "), lighting, F.lit(", "), time_of_day, F.lit(". Static camera, single continuous shot."))
 
 
 def json_of_reply(text: Column) -> Column:

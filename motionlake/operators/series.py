@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+
 EXACT_S = 1e-6
 MAX_GAP_S = 0.34
 
@@ -46,6 +48,34 @@ def resample_linear(targets: DataFrame, source: DataFrame, keys: list[str], t: s
     return rows.select(*keys, t, out.alias(value), (~exact & between).alias("interpolated"), (exact | between).alias("valid"))
 
 
+def resample_quaternion(targets: DataFrame, source: DataFrame, keys: list[str], t: str, q: str, max_gap_s: float = MAX_GAP_S) -> DataFrame:
+    """keys, t, q, interpolated, valid: quaternions (structs) along the shorter arc; gaps and ends as in ``resample_linear``."""
+    rows = bracket(targets, source, keys, t, [q])
+    b, a, at = F.col("before"), F.col("after"), F.col(t)
+    on = lambda s: F.coalesce(F.abs(s["t"] - at) <= EXACT_S, F.lit(False))
+    exact = on(a) | on(b)
+    between = F.coalesce(b.isNotNull() & a.isNotNull() & (a["t"] - b["t"] <= max_gap_s + EXACT_S), F.lit(False))
+    mixed = G.slerp(b[q], a[q], F.coalesce(F.try_divide(at - b["t"], a["t"] - b["t"]), F.lit(0.0)))
+    out = F.when(on(a), a[q]).when(on(b), b[q]).when(between, mixed).otherwise(F.coalesce(b[q], a[q]))
+    return rows.select(*keys, t, out.alias(q), (~exact & between).alias("interpolated"), (exact | between).alias("valid"))
+
+
+def resample_poses(targets: DataFrame, source: DataFrame, keys: list[str], t: str, values: list[str], conf: str, order: str, least: float = 0.5) -> DataFrame:
+    """keys, t, values, conf and valid: all channels of each key at once; of rows at the same time the last by order counts.
+
+    A row is valid if no gap is too long and the confidence there is at least ``least``.
+    """
+    last = source.groupBy(*keys, t).agg(*[F.max_by(c, order).alias(c) for c in (*values, conf)])
+    rows = bracket(targets, last, keys, t, [*values, conf])
+    b, a, at = F.col("before"), F.col("after"), F.col(t)
+    on = lambda s: F.coalesce(F.abs(s["t"] - at) <= EXACT_S, F.lit(False))
+    between = F.coalesce(a["t"] - b["t"] <= MAX_GAP_S + EXACT_S, F.lit(False))
+    share = F.try_divide(at - b["t"], a["t"] - b["t"])
+    channel = lambda c: F.when(on(a), a[c]).when(on(b), b[c]).when(between, (1 - share) * b[c] + share * a[c]).otherwise(F.coalesce(b[c], a[c])).alias(c)
+    out = rows.select(*keys, t, *[channel(c) for c in (*values, conf)], (on(a) | on(b) | between).alias("valid"))
+    return out.withColumn("valid", F.col("valid") & F.coalesce(F.col(conf) >= least, F.lit(False)))
+
+
 def asof_nearest(targets: DataFrame, source: DataFrame, keys: list[str], t: str, values: list[str], tolerance: float) -> DataFrame:
     """targets with the values of the nearest source row within the tolerance, else null; of two as near, the earlier."""
     rows = bracket(targets, source, keys, t, values)
@@ -83,11 +113,12 @@ def moving_average_zero(value: str, keys: list[str], order: str, win: int = 5) -
     return F.sum(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-(win // 2), win // 2)) / F.lit(float(win))
 
 
-def fixed_bins(rows: DataFrame, keys: list[str], t: str, value: Column, width: float, duration: DataFrame, empty: float = 0.0) -> DataFrame:
-    """keys, bin and mean value of each bin up to the duration (keys, duration); empty bins hold ``empty``."""
+def fixed_bins(rows: DataFrame, keys: list[str], t: str, value: Column, width: float, duration: DataFrame, empty: float = 0.0, agg=F.avg) -> DataFrame:
+    """keys, bin and the aggregate (the mean, or another function of a column) of each bin up to the duration (keys,
+    duration); empty bins hold ``empty``."""
     n = F.greatest(F.ceil(F.col("duration") / width), F.lit(1))
     frame = duration.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).alias("bin"))
-    means = rows.groupBy(*keys, F.floor(F.col(t) / width).cast("long").alias("bin")).agg(F.avg(value).alias("v"))
+    means = rows.groupBy(*keys, F.floor(F.col(t) / width).cast("long").alias("bin")).agg(agg(value).cast("double").alias("v"))
     return frame.join(means, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("v", F.lit(empty)).alias("v"))
 
 
