@@ -207,7 +207,7 @@ def decimate(rows: DataFrame, keys: list[str], frame: str, ratio: float) -> Data
     return rows.where(F.floor(k * ratio) == F.col(frame))
 
 
-def nearest_frame(rows: DataFrame, t: str, fps: float, n: str) -> Column:
+def nearest_frame(t: str, fps: float, n: str) -> Column:
     """Frame of a time, half to even, within the clip."""
     return F.least(F.bround(F.col(t) * fps, 0).cast("long"), F.col(n) - 1)
 

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from .. import adapters
 from ..functions import text as X
 from ..operators import documents as D
+from ..schemas import VERBS
 from .reports import SKILLS
 from .timeline import SERIES, TURNS
 
 
 def url_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = adapters.table(spark, sf_dir, "pages")
-    return pages.select("page_id", X.slug(F.col("url"), 40).alias("slug"), X.safe_filename(F.substring("url", 1, 30)).alias("file"), X.episode_id(F.lit("page"), F.col("page_id")).alias("episode"))
+    return pages.select("page_id", X.slug(F.col("url"), 40).alias("slug"), X.safe_filename(F.col("url")).alias("file"), X.episode_id(F.lit("page"), F.col("page_id")).alias("episode"))
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +26,10 @@ def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _messages(spark, sf_dir):
     """Log messages out of events."""
-    say = F.when(F.col("event_type") == "error", F.concat(F.lit("Error: generation failed for "), "user_id")).when(F.col("event_type") == "view", F.concat(F.lit("verified clip "), "event_id")).when(
-        F.col("event_type") == "click", F.concat(F.lit("label skipped in "), "event_id")).when(F.col("event_type") == "signup", F.concat(F.lit("error code "), "user_id")).otherwise(F.concat(F.lit("queue length "), "user_id"))
+    texts = {"error": "Error: generation failed for ", "view": "Parsing intent ", "click": "skipped: dropping one scenario of ", "signup": "error in visual ANCHORS ", "purchase": "Planning 3 scenario variations "}
+    say = F
+    for kind, text in texts.items():
+        say = say.when(F.col("event_type") == kind, F.concat(F.lit(text), "event_id"))
     job = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("batch-"), F.col("user_id"), F.lit("-job-"), F.col("event_id"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("single run "), F.col("event_id")))
     return adapters.table(spark, sf_dir, "events").select("event_id", say.alias("message"), job.alias("job_id"), "value")
 
@@ -40,7 +43,7 @@ def keyword_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompts = adapters.table(spark, sf_dir, "events").select(
         "event_id", F.concat_ws(" ", F.element_at(F.array(*[F.lit(w) for w in ("Pick", "lift", "look at", "PUT")]), (F.col("event_id") % 4).cast("int") + 1), F.lit("the box,"), F.element_at(F.array(*[F.lit(w) for w in ("grab it", "wait", "raise")]), (F.col("user_id") % 3).cast("int") + 1)).alias("p")
     )
-    return prompts.select("event_id", F.array_join(X.skills_of(F.col("p")), ",").alias("skills"))
+    return prompts.select("event_id", F.array_join(X.skills_of(F.col("p"), VERBS), ",").alias("skills"))
 
 
 def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,13 +101,13 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    msg = """WITH m AS (SELECT event_id, value, CASE event_type WHEN 'error' THEN 'Error: generation failed for ' || user_id WHEN 'view' THEN 'verified clip ' || event_id WHEN 'click' THEN 'label skipped in ' || event_id WHEN 'signup' THEN 'error code ' || user_id ELSE 'queue length ' || user_id END AS message,
+    msg = """WITH m AS (SELECT event_id, value, CASE event_type WHEN 'error' THEN 'Error: generation failed for ' WHEN 'view' THEN 'Parsing intent ' WHEN 'click' THEN 'skipped: dropping one scenario of ' WHEN 'signup' THEN 'error in visual ANCHORS ' ELSE 'Planning 3 scenario variations ' END || event_id AS message,
       CASE event_id % 3 WHEN 0 THEN 'batch-' || user_id || '-job-' || event_id WHEN 1 THEN 'single run ' || event_id END AS job_id FROM events)"""
-    agents = "CASE " + " ".join(f"WHEN regexp_matches(lower(message), '{p}') THEN '{a}'" for p, a in X.AGENTS) + f" ELSE '{X.OTHER_AGENT}' END"
+    agents = "CASE " + " ".join(f"WHEN regexp_matches(message, '(?i){p}') THEN '{a}'" for p, a in X.AGENTS) + f" ELSE '{X.OTHER_AGENT}' END"
     words = "CASE w " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.SKILL_WORDS.items()) + " END"
     skill = "CASE WHEN l_returnflag = 'N' THEN 'idle' ELSE (['reach', 'grasp', 'lift', 'place'])[l_partkey % 4 + 1] END"
     return {
-        "url_slugs": r"""SELECT page_id, CASE WHEN s = '' THEN 'item' ELSE s END AS slug, regexp_replace(substring(url, 1, 30), '[^\p{L}\p{N}._-]', '_', 'g') AS file, 'page_' || lpad(CAST(page_id AS VARCHAR), 6, '0') AS episode
+        "url_slugs": r"""SELECT page_id, CASE WHEN s = '' THEN 'item' ELSE s END AS slug, regexp_replace(url, '[^\p{L}\p{N}._-]', '_', 'g') AS file, 'page_' || lpad(CAST(page_id AS VARCHAR), 6, '0') AS episode
             FROM (SELECT *, substring(regexp_replace(regexp_replace(coalesce(url, ''), '[^A-Za-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 40) AS s FROM pages)""",
         "titles": """WITH t AS (SELECT p_partkey, trim(regexp_replace(regexp_replace('sc_' || p_partkey || '_' || replace(p_name, ' ', '_'), '^sc_?[0-9]+_?', ''), '[_-]+', ' ', 'g')) AS s, [w FOR w IN regexp_split_to_array(trim(regexp_replace(lower(p_name), '[_-]', ' ', 'g')), '[^a-z0-9]+') IF length(w) >= 3] AS ws FROM part)
             SELECT p_partkey, upper(substring(s, 1, 1)) || substring(s, 2) AS title, array_to_string([ws[i] FOR i IN range(1, len(ws) + 1) IF list_position(ws, ws[i]) = i], ',') AS terms FROM t""",
@@ -112,8 +115,8 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN regexp_matches(job_id, '^(.*)-job-[0-9]+$') THEN regexp_extract(job_id, '^(.*)-job-[0-9]+$', 1) ELSE substring(job_id, 1, 12) END AS batch_id,
             CASE WHEN value < 90 THEN CAST(floor(value + 0.5) AS BIGINT) || 's' ELSE CAST(floor(floor(value + 0.5) / 60) AS BIGINT) || 'm ' || lpad(CAST(CAST(floor(value + 0.5) AS BIGINT) % 60 AS VARCHAR), 2, '0') || 's' END AS took FROM m""",
         "keyword_skills": f"""WITH p AS (SELECT event_id, lower((['Pick', 'lift', 'look at', 'PUT'])[event_id % 4 + 1] || ' the box, ' || (['grab it', 'wait', 'raise'])[user_id % 3 + 1]) AS p FROM events),
-            w AS (SELECT event_id, unnest(regexp_split_to_array(p, '[^a-z]+')) AS w, unnest(range(len(regexp_split_to_array(p, '[^a-z]+')))) AS i FROM p), x AS (SELECT event_id, i, {words} AS s FROM w), s AS (SELECT event_id, s, min(i) AS i FROM x WHERE s IS NOT NULL GROUP BY event_id, s)
-            SELECT p.event_id, coalesce(string_agg(s, ',' ORDER BY i), 'idle') AS skills FROM p LEFT JOIN s USING (event_id) GROUP BY 1""",
+            w AS (SELECT event_id, unnest(regexp_split_to_array(translate(p, ',.', '  '), ' +')) AS w, unnest(range(len(regexp_split_to_array(translate(p, ',.', '  '), ' +')))) AS i FROM p), x AS (SELECT event_id, i, {words} AS s FROM w), s AS (SELECT event_id, s, min(i) AS i FROM x WHERE s IS NOT NULL GROUP BY event_id, s)
+            SELECT p.event_id, coalesce(string_agg(s, ',' ORDER BY i), '{VERBS[-1]}') AS skills FROM p LEFT JOIN s USING (event_id) GROUP BY 1""",
         "contract_violations": f"""WITH {SERIES.replace("AS v FROM", "AS v, arg_max(CAST(json_extract_string(props, '$.k') AS INTEGER), event_id) AS k FROM")}, s AS (SELECT *, lag(t) OVER (PARTITION BY user_id, event_type ORDER BY k, t) AS p FROM series),
             c AS (SELECT count(*) FILTER (v / 100 > 1) AS a, count(*) FILTER (k % 7 = 0) AS b, count(*) FILTER (t <= p) AS c FROM s)
             SELECT rule, n FROM (SELECT 'missing column valid' AS rule, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'conf outside [0, 1]', a FROM c UNION ALL SELECT 'unknown source', b FROM c UNION ALL SELECT 't doesn''t rise', c FROM c) WHERE n > 0""",

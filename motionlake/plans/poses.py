@@ -38,7 +38,7 @@ def camera_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y, z = G.back_project(F.col("vec_id") % 64, F.col("vec_id") % 48, F.when(F.col("vec_id") % 5 != 0, 1.0 + F.abs("q.w")).otherwise(0.0), 50.0, 60.0, 32.0, 24.0)
     eye = [F.col(f"q.{c}") * 10 for c in "xyz"]
     m = G.look_at(eye, [F.lit(0.0)] * 3)
-    return rows.select("vec_id", *[F.round(c, 5).alias(n) for c, n in zip((x, y, z), ("px", "py", "pz"), strict=True)], *[F.round(m[i], 5).alias(f"m{i}") for i in (0, 2, 5, 8)])
+    return rows.select("vec_id", *[F.round(c, 5).alias(n) for c, n in zip((x, y, z), ("px", "py", "pz"), strict=True)], *[F.round(m[i], 5).alias(f"m{i}") for i in (0, 2, 5, 8)], F.round(G.focal_length(F.col("vec_id") % 150, 640.0), 3).alias("focal"))
 
 
 def body_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,13 @@ def resample_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, 5, "px", "py", "conf").withColumn("t", F.round("t", 4))
 
 
+def frame_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source frame of each frame at 7.5 a second."""
+    users = adapters.series(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"))
+    rows = S.canonical_timeline(users.withColumn("duration", F.least(F.col("n"), F.lit(40)) / 6.0), ["user_id"], "duration", 7.5).join(users, "user_id")
+    return rows.select("user_id", "i", S.nearest_frame("t", 6.0, "n").alias("frame"))
+
+
 def binned_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts a bin, by an aggregate of the caller's choice."""
     rows = adapters.series(spark, sf_dir).withColumn("day", F.col("t") / 86400.0)
@@ -100,7 +107,7 @@ def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "rate", F.col("c.cam_id").alias("cam_id"), F.col("c.path").alias("path"), "job", "prompt")
 
 
-NAMES = [rotation_forms, similar_poses, camera_rays, body_frames, grasp_cycle, resample_slerp, resample_poses, binned_counts, annotated_frames, text_forms]
+NAMES = [rotation_forms, similar_poses, camera_rays, body_frames, grasp_cycle, resample_slerp, resample_poses, frame_mapping, binned_counts, annotated_frames, text_forms]
 
 
 def queries() -> dict:
@@ -130,7 +137,7 @@ def oracle_sql() -> dict[str, str]:
             round(2 * (2 * (x * z - y * w) * rx + 2 * (y * z + x * w) * ry + (1 - 2 * (x * x + y * y)) * rz) - 1, 5) AS z, round(4 * pow(w * rw - x * rx - y * ry - z * rz, 2) - 1, 5) AS trace FROM q""",
         "camera_rays": """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 5 <> 0 THEN 1 + abs(CAST(embedding[1] AS DOUBLE)) END AS d, 10 * CAST(embedding[2] AS DOUBLE) AS x, 10 * CAST(embedding[3] AS DOUBLE) AS y, 10 * CAST(embedding[4] AS DOUBLE) AS z FROM embeddings),
             f AS (SELECT *, sqrt(x * x + y * y + z * z) + 1e-8 AS n FROM e), g AS (SELECT *, -x / n AS fx, -y / n AS fy, -z / n AS fz FROM f), h AS (SELECT *, sqrt(fy * fy + fx * fx) + 1e-8 AS k FROM g)
-            SELECT vec_id, round((vec_id % 64 + 0.5 - 32) * d / 50, 5) AS px, round((vec_id % 48 + 0.5 - 24) * d / 60, 5) AS py, round(d, 5) AS pz, round(fy / k, 5) AS m0, round(fx, 5) AS m2, round(fy, 5) AS m5, round(fz, 5) AS m8 FROM h""",
+            SELECT vec_id, round((vec_id % 64 + 0.5 - 32) * d / 50, 5) AS px, round((vec_id % 48 + 0.5 - 24) * d / 60, 5) AS py, round(d, 5) AS pz, round(fy / k, 5) AS m0, round(fx, 5) AS m2, round(fy, 5) AS m5, round(fz, 5) AS m8, round(640 / (2 * tan(radians(least(greatest(vec_id % 150, 20), 120)) / 2)), 3) AS focal FROM h""",
         "body_frames": "WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings), "
         + f"""f AS (SELECT *, (e[5] + 1 - e[7]) / {axis} AS ux, (e[6] - e[8]) / {axis} AS uy, e[1] - e[3] AS dx, e[2] - e[4] AS dy FROM e)
             SELECT vec_id, round(acos(least(greatest(-(e[1] * e[3] + e[2] * e[4]) / (sqrt(e[1] * e[1] + e[2] * e[2]) * sqrt(e[3] * e[3] + e[4] * e[4]) + 1e-9), -1), 1)), 4) AS knee, round((dx * ux + dy * uy) / 2, 5) AS along, round((dy * ux - dx * uy) / 2, 5) AS across,
@@ -145,6 +152,7 @@ def oracle_sql() -> dict[str, str]:
         "resample_poses": GRID
         + f""", o AS (SELECT *, coalesce(ta - tb <= {S.MAX_GAP_S + 1e-6}, false) AS ok FROM jo), m AS (SELECT episode_id, t, ok, CASE WHEN ok THEN (1 - k) * pb + k * pa ELSE coalesce(pb, pa) END AS px, CASE WHEN ok THEN (1 - k) * yb + k * ya ELSE coalesce(yb, ya) END AS py, CASE WHEN ok THEN (1 - k) * cb + k * ca ELSE coalesce(cb, ca) END AS conf FROM o)
             SELECT episode_id, round(t, 4) AS t, round(px, 5) AS px, round(py, 5) AS py, round(conf, 5) AS conf, ok AND round(conf, 9) >= 0.5 AS valid FROM m""",
+        "frame_mapping": "WITH u AS (SELECT user_id, count(DISTINCT (event_type, ts)) AS n FROM events GROUP BY 1) SELECT user_id, i, CAST(least(round_even(i / CAST(7.5 AS DOUBLE) * 6, 0), n - 1) AS BIGINT) AS frame FROM u, range(60) r(i) WHERE i <= floor(least(n, 40) / 6 * 7.5 + 1e-9)",
         "binned_counts": "WITH s AS (SELECT DISTINCT user_id, event_type, ts FROM events), u AS (SELECT DISTINCT user_id FROM events), c AS (SELECT user_id, CAST(floor((epoch_us(ts) / 1e6 - 1704067200.0) / 86400) AS BIGINT) AS bin, count(*) AS n FROM s GROUP BY ALL) SELECT u.user_id, b AS bin, CAST(coalesce(n, 0) AS DOUBLE) AS v FROM u CROSS JOIN range(30) r(b) LEFT JOIN c ON c.user_id = u.user_id AND c.bin = b",
         "annotated_frames": "WITH " + TRACKS_SQL.rstrip().rstrip(",") + " SELECT episode_id, frame, CAST(count(*) AS INTEGER) AS n, string_agg(concat_ws(':', label, track_id, round(1.0007 * x1, 1), round(1.0007 * y1, 1), round(1.0007 * (x2 - x1), 1), round(1.0007 * (y2 - y1), 1)), ',' ORDER BY label, track_id) AS annotations FROM tracks GROUP BY 1, 2",
         "text_forms": """SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN '0' WHEN p_partkey / 8 >= 10 THEN format('{:,}', CAST(floor(p_partkey / 8 + 0.5) AS BIGINT)) ELSE printf('%.1f', round_even(p_partkey / 8, 1)) END AS rate, CASE WHEN p_partkey % 5 <> 0 THEN 'cam' || p_partkey END AS cam_id, CASE WHEN p_partkey % 5 <> 0 THEN '/a:' || p_name END AS path,

@@ -6,7 +6,6 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: How late an event may be.
 LATE = "1 hour"
@@ -62,33 +61,12 @@ def matching(log: DataFrame, level: str | None = None, agent: str | None = None,
 
 
 def furthest_state(changes: DataFrame, key: str = "job_id") -> DataFrame:
-    """Each job's latest change and the furthest state it reached (a table of changes: job, ts, state)."""
+    """Each job's latest change and the furthest state it reached, of changes (job, ts, state) in a table or a stream."""
     order = F.create_map(*[x for i, s in enumerate(STATES) for x in (F.lit(s), F.lit(i))])
     place = F.try_element_at(order, F.col("state"))
     return changes.groupBy(key).agg(F.max_by("state", F.struct("ts", place)).alias("state"), F.max(place).alias("furthest"), F.count("*").alias("changes"))
 
 
-def job_states(changes: DataFrame, key: str = "job_id") -> DataFrame:
-    """The same over a stream: a state that is kept for each job and updated with every batch."""
-    places = {s: i for i, s in enumerate(STATES)}
-
-    def update(job, parts, state: GroupState):
-        import pandas as pd
-
-        ts, name, furthest, n = state.get if state.exists else (-1, "", -1, 0)
-        for part in parts:
-            for t, s in zip(part["ts"].astype("int64"), part["state"], strict=True):
-                if (t, places.get(s, -1)) >= (ts, places.get(name, -1)):
-                    ts, name = int(t), s
-                furthest, n = max(furthest, places.get(s, -1)), n + 1
-        state.update((ts, name, furthest, n))
-        yield pd.DataFrame({key: [job[0]], "state": [name], "furthest": [furthest], "changes": [n]})
-
-    kind = changes.schema[key].dataType.simpleString()
-    rows = changes.select(key, F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "state")
-    return rows.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, state string, furthest int, changes long", "ts long, name string, furthest int, n long", "update", GroupStateTimeout.NoTimeout)
-
-
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """Run all that is there through the stream and read the result from memory (tests and small reports)."""
     query = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", os.path.join(checkpoint, name)).outputMode(mode).trigger(availableNow=True).start()
