@@ -126,6 +126,35 @@ def test_texts_at_the_threshold_share_a_sketch():
         assert found >= 59, (size, share, found)
 
 
+def test_recall_at_all_similarities_beside_a_hot_group(spark):
+    """Planted pairs at 0.80 to 0.95, a third of all rows near copies of one text, and a passage that many rows share."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    passage, hot = [word() for _ in range(40)], [word() for _ in range(120)]
+    texts, pairs = [], []
+    for share in (0.05, 0.1, 0.15, 0.2):
+        for size in (20, 60, 100, 160):
+            for _ in range(8):
+                a = [word() for _ in range(size)]
+                b = list(a)
+                for i in rnd.sample(range(size), int(share * size)):
+                    b[i] = word()
+                pairs.append((share, len(texts), len(texts) + 1))
+                texts += [" ".join(a), " ".join(b)]
+    for k in range(len(texts) // 2):
+        texts.append(" ".join(w if rnd.random() > 0.02 else word() for w in hot))
+        if k % 4 == 0:
+            texts.append(" ".join([*passage, *(word() for _ in range(60))]))
+    found = {r.doc_id: r.class_id for r in N.classes(documents(spark, texts)).collect()}
+    for share in (0.05, 0.1, 0.15, 0.2):
+        mine = [found[a] == found[b] for s, a, b in pairs if s == share]
+        assert sum(mine) >= 0.9 * len(mine), (share, sum(mine), len(mine))
+    first = 2 * len(pairs)
+    group = {found[i] for i in range(first, len(texts)) if not texts[i].startswith(passage[0])}
+    assert len(group) == 1  # one class
+    assert sum(found[i] != i for i in range(first) if i % 2 == 0) == 0  # strangers stay apart
+
+
 def test_the_bag_bound_is_never_above_the_edits():
     rnd = random.Random(3)
     for _ in range(300):
