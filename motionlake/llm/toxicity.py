@@ -2,8 +2,8 @@
 
 1. *Lexicon.* Over all labelled training rows, terms (words, and stems: what words begin with) are counted once for each
    text that has them, and the terms that toxic texts have much oftener than others are kept, ``MAX_TERMS`` at most (the
-   size of the model). Every distinct text counts; near copies, told by ``MINIMA`` least hashes, share one count, so
-   that groups of copies don't put their own words in the lexicon.
+   size of the model). Every distinct text counts; those with the same least pair of words, as near copies have, share
+   one count, so that groups of copies don't put their own words in the lexicon.
 2. *Matches.* The lexicon is a trie, and holds the words that stems stand for as well, so their misspellings match too.
    A word that has no exact match is run through a Levenshtein automaton, state by state beside the trie, so only
    branches that can still end within the allowed edits are entered.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import release, written
 
 #: Most terms of a lexicon, and about how many training rows the regression takes at most.
-MAX_TERMS = 10_000
+MAX_TERMS = 2000
 MAX_FIT = 50_000
 #: Labels that a broadcast join may carry; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
@@ -48,8 +48,8 @@ RATIO = 5
 #: Tokens around a match in which quotation marks make it a quotation, and tokens of a window of abuse.
 QUOTE_REACH = 12
 WINDOW = 60
-#: Multipliers of the independent least hashes that copies agree in, and words of texts that must be equal instead.
-MINIMA = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint64)
+#: Multiplier of the order whose least pair of words near copies share, and words of texts that must be equal instead.
+ORDER = np.uint64(0x9E3779B1)
 SHORT_TEXT = 20
 FEATURES = 7
 TOXIC_AT = 0.7
@@ -76,6 +76,7 @@ class Lexicon:
         self.terms = {**(covered or {}), **words}
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[str | None] = [None]
+        self.most: list[int] = [0]  # edits that a term at or below a node may have
         for w in self.terms:
             node = 0
             for c in w:
@@ -83,6 +84,8 @@ class Lexicon:
                 if node == len(self.ends):
                     self.children.append({})
                     self.ends.append(None)
+                    self.most.append(0)
+                self.most[node] = max(self.most[node], edits_for(len(w)))
             self.ends[node] = w
         # A misspelled term keeps one of edits + 1 pieces of it whole: the first, the last, or (two edits) the middle one.
         self.pieces: dict[int, tuple[int, int, set, set, set]] = {}
@@ -111,7 +114,7 @@ class Lexicon:
         """The term that is nearest (then first in order) among those within their edits of the word.
 
         The automaton's state is the row of edit distances between the word's prefixes and the path in the trie; a
-        branch is left once no entry of its state is within the most edits that any term may have.
+        branch is left once no entry of its state is within the most edits that its terms may have.
         """
         best: tuple[int, str] | None = None
         stack = [(0, list(range(len(word) + 1)))]
@@ -124,7 +127,7 @@ class Lexicon:
                 new = [row[0] + 1]
                 for j, c in enumerate(word):
                     new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (c != letter)))
-                if min(new) <= 2:
+                if min(new) <= self.most[child]:
                     stack.append((child, new))
         return best[1] if best else None
 
@@ -212,19 +215,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str, key: str, label
 
 
 def signatures(words: list[str]) -> tuple[int, int]:
-    """Hashes of a text's words: one is equal for equal words only, the other for most near copies too: the least hashes
-    of the pairs of neighbouring words under several orders. Short texts have the first one twice."""
+    """Hashes of a text's words: one is equal for equal words only, the other for most near copies too (and for some other
+    texts): the least hash of the pairs of neighbouring words. Short texts have the first one twice."""
     sign = lambda said: int.from_bytes(hashlib.blake2b(said, digest_size=8).digest(), "little", signed=True)
     exact = sign(" ".join(words).encode())
     if len(words) < SHORT_TEXT:
         return exact, exact
     h = np.array([zlib.crc32(f"{a} {b}".encode()) for a, b in set(zip(words, words[1:], strict=False))], dtype=np.uint64)
-    least = []
-    for m in MINIMA:
-        x = (h * m) & np.uint64(0xFFFFFFFF)
-        x = ((x ^ (x >> np.uint64(15))) * m) & np.uint64(0xFFFFFFFF)
-        least.append(x.min())
-    return exact, sign(np.array(least).tobytes())
+    x = (h * ORDER) & np.uint64(0xFFFFFFFF)
+    x = ((x ^ (x >> np.uint64(15))) * ORDER) & np.uint64(0xFFFFFFFF)
+    return exact, sign(x.min().tobytes())
 
 
 def read_words(train: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def read_words(train: DataFrame) -> DataFrame:
 def word_counts(rows: DataFrame) -> DataFrame:
     """word, t and c: how many toxic and other texts have each word, of rows as ``read_words`` makes them.
 
-    Of texts with the same words one counts; near copies count as one together, each for its share.
+    Of texts with the same words one counts; texts of one near signature count as one together, each for its share.
     """
     texts = rows.dropDuplicates(["exact", "toxic"])
     sizes = rows.select("exact", "near", "toxic").distinct().groupBy("near", "toxic").agg((1.0 / F.count("*")).alias("share"))
