@@ -53,7 +53,7 @@ ORDER = np.uint64(0x9E3779B1)
 SHORT_TEXT = 20
 FEATURES = 7
 TOXIC_AT = 0.7
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 800_000
 
 QUOTES = frozenset('"“”«»„')
 TOKEN = re.compile(r'[^\W\d_]+|["“”«»„]')
@@ -98,6 +98,7 @@ class Lexicon:
                 if edits == 2:
                     piece[4].add(w[n : 2 * n])
         self.stem_sizes = sorted({len(s) for s in stems}, reverse=True)
+        self.sign = hashlib.blake2b(repr([sorted(d.items()) for d in (words, stems, self.terms)]).encode(), digest_size=16).digest()
 
     def may_match(self, word: str) -> bool:
         size = len(word)
@@ -202,6 +203,17 @@ class Reader:
         ]
 
 
+_READERS: dict[bytes, Reader] = {}
+
+
+def reader_of(lexicon: Lexicon) -> Reader:
+    """The worker's reader of a lexicon: what it remembers of words serves all of the worker's tasks."""
+    if lexicon.sign not in _READERS:
+        _READERS.clear()
+        _READERS[lexicon.sign] = Reader(lexicon)
+    return _READERS[lexicon.sign]
+
+
 def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
@@ -328,7 +340,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     lexicon = learn_lexicon(train)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(lexicon)
+        reader = reader_of(lexicon)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([reader.features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
@@ -344,7 +356,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
     """key and score (0 to 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model.lexicon)
+        reader = reader_of(model.lexicon)
         for batch in batches:
             x = np.array([reader.features(t) for t in batch.column(1).to_pylist()]).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x), pa.float64())], names=[key, "score"])
