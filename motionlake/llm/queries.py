@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, html_text, line_dedup, line_quality, near_dedup, secret_scan, token_files, toxicity, warc
+from . import byte_bpe, decontaminate, exact_dedup, html_text, line_dedup, line_quality, near_dedup, secret_scan, token_files, toxicity, warc
 from .common import new_folder, table
 
 #: The id that ends a document in the token files.
@@ -81,6 +81,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC_AT).cast("int").alias("predicted"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.verdicts(table(spark, sf_dir, "documents"))
+
+
 LINES_SQL = r"""
 lines AS (
   SELECT doc_id, source, md5(text) AS tx, i, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS nl
@@ -134,6 +138,12 @@ FROM parts
 """
 )
 
+OP12_SQL = """
+WITH t AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
+g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -147,8 +157,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_line_dedup": op9_line_dedup,
         "op10_toxicity": op10_toxicity,
+        "op12_exact_dedup": op12_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": OP8_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op8_quality_rules": OP8_SQL, "op9_line_dedup": OP9_SQL, "op12_exact_dedup": OP12_SQL}
