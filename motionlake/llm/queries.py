@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, exact_dedup, html_text, line_dedup, line_quality, near_dedup, secret_scan, token_files, toxicity, warc
+from . import byte_bpe, decontaminate, exact_dedup, html_text, line_dedup, line_quality, near_dedup, secret_scan, spelling, token_files, toxicity, warc
 from .common import new_folder, table
 
 #: The id that ends a document in the token files.
@@ -81,6 +81,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC_AT).cast("int").alias("predicted"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(table(spark, sf_dir, "documents"))
 
@@ -157,6 +161,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_line_dedup": op9_line_dedup,
         "op10_toxicity": op10_toxicity,
+        "op11_spelling_variants": op11_spelling_variants,
         "op12_exact_dedup": op12_exact_dedup,
     }
 
