@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, exact_dedup, html_text, line_dedup, line_quality, near_dedup, secret_scan, spelling, token_files, toxicity, warc
-from .common import new_folder, table
+from . import byte_bpe, decontaminate, exact_dedup, html_text, line_dedup, line_quality, near_dedup, secret_scan, spelling, token_files, toxicity, turn_repair, warc
+from .common import new_folder, table, written
 
 #: The id that ends a document in the token files.
 END_ID = 2
@@ -89,6 +89,17 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(table(spark, sf_dir, "documents"))
 
 
+def turn_repair_of(conversations: DataFrame) -> DataFrame:
+    rows = turn_repair.damaged(conversations)
+    plans = written(turn_repair.plans(rows), "turn-plans")
+    done = turn_repair.repaired_digests(rows, plans).withColumnRenamed("conv_id", "done_id")
+    return plans.join(done, F.col("conv_id").eqNullSafe(F.col("done_id"))).drop("done_id")
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair_of(table(spark, sf_dir, "conversations"))
+
+
 LINES_SQL = r"""
 lines AS (
   SELECT doc_id, source, md5(text) AS tx, i, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS nl
@@ -163,6 +174,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_toxicity": op10_toxicity,
         "op11_spelling_variants": op11_spelling_variants,
         "op12_exact_dedup": op12_exact_dedup,
+        "op13_turn_repair": op13_turn_repair,
     }
 
 
