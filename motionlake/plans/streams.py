@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import adapters
-from ..streaming import logs
+from ..sources import shared
+from ..streaming import logs, trackers
 
 
 def _events(spark, sf_dir):
@@ -49,15 +50,44 @@ def approx_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("users"))
 
 
-NAMES = [tumbling_counts, sliding_average, session_windows, dedup_stream, log_search, job_state, approx_users]
+def _detections(events: DataFrame) -> DataFrame:
+    return events.select("user_id", "ts", F.col("event_id").alias("frame"), F.col("value").alias("x"), (4.0 * adapters.props_k()).alias("y"))
+
+
+def _tracked(rows: DataFrame) -> DataFrame:
+    return rows.select("user_id", "kind", "frame", *[F.round(c, 4).alias(c) for c in ("vx", "vy")], "n")
+
+
+def tracker_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tracked(trackers.track_rows(_detections(_events(spark, sf_dir)), ["user_id"], adapters.FPS))
+
+
+def tracker_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table read as a stream to its end, with keyed state; the same rows as ``tracker_rows``."""
+    # A stream's path is a folder or a pattern; the table may be one file.
+    events = spark.readStream.schema(_events(spark, sf_dir).schema).parquet(f"{sf_dir}/events.parque[t]")
+    return _tracked(trackers.run_to_end(trackers.track_stream(_detections(events), ["user_id"], adapters.FPS, "0 seconds"), shared.new_folder(spark, "trackers")))
+
+
+NAMES = [tumbling_counts, sliding_average, session_windows, dedup_stream, log_search, job_state, tracker_rows, tracker_stream, approx_users]
 
 
 def queries() -> dict:
     return {f.__name__: f for f in NAMES}
 
 
+#: A track ends after six hours without an event; rows at the last millisecond wait for the watermark.
+TRACKS_SQL = f"""WITH e AS (SELECT user_id, event_id AS frame, epoch_ms(ts) AS ms, value AS x, 4.0 * CAST(json_extract_string(props, '$.k') AS INTEGER) AS y, max(epoch_ms(ts)) OVER () AS now FROM events),
+    s AS (SELECT *, coalesce(ms - lag(ms) OVER w > {trackers.GAP_MS}, true) AS new, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, lead(ms) OVER w AS nxt FROM e WHERE ms < now WINDOW w AS (PARTITION BY user_id ORDER BY ms, frame)),
+    p AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ms, frame) AS part FROM s), n AS (SELECT *, row_number() OVER (PARTITION BY user_id, part ORDER BY ms, frame) AS n FROM p)
+    SELECT user_id, 'seen' AS kind, frame, round(CASE WHEN new THEN 0 ELSE dx * {adapters.FPS} END, 4) AS vx, round(CASE WHEN new THEN 0 ELSE dy * {adapters.FPS} END, 4) AS vy, n FROM n
+    UNION ALL SELECT user_id, 'ended', frame, NULL, NULL, n FROM n WHERE coalesce(nxt - ms > {trackers.GAP_MS}, ms + {trackers.GAP_MS} < now)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "tracker_rows": TRACKS_SQL,
+        "tracker_stream": TRACKS_SQL,
         "tumbling_counts": "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
         "sliding_average": """WITH e AS (SELECT event_type, value, time_bucket(INTERVAL 6 HOUR, ts) - (unnest(range(4)) * INTERVAL 6 HOUR) AS s FROM events)
             SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, event_type, round(avg(value), 6) AS mean, count(*) AS n FROM e GROUP BY ALL""",
