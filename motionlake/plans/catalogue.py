@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import contracts, documents, export, gate, labels, lineage, manipulation, motion, poses, quality, reports, signals, streams, timeline
+from . import contracts, documents, export, fusion, gate, labels, lineage, manipulation, motion, poses, quality, reports, signals, streams, timeline
 
-PARTS = (gate, timeline, manipulation, motion, poses, quality, contracts, labels, export, reports, documents, lineage, signals, streams)
+PARTS = (gate, fusion, timeline, manipulation, motion, poses, quality, contracts, labels, export, reports, documents, lineage, signals, streams)
 
 
 def queries() -> dict:
