@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import contracts, documents, export, fusion, gate, labels, lineage, manipulation, motion, poses, quality, reports, sessions, signals, streams, timeline
+from . import archives, contracts, documents, export, fusion, gate, labels, lineage, manipulation, motion, poses, quality, reports, sessions, signals, streams, timeline
 
-PARTS = (gate, fusion, timeline, manipulation, motion, poses, quality, contracts, labels, export, reports, documents, lineage, signals, sessions, streams)
+PARTS = (gate, fusion, timeline, manipulation, motion, poses, quality, contracts, labels, export, reports, documents, lineage, signals, sessions, archives, streams)
 
 
 def queries() -> dict:
