@@ -27,19 +27,23 @@ SMOOTH = 5
 
 
 def body_frames(keypoints: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, frame, t, points (name -> u, v, conf), fore, hind and hips (points), and body, the clip's median length.
+    """keys, frame, t, points (name -> u, v, conf), fore, hind and hips (points), body, the clip's median length, framed and up.
 
-    Fore and hind are the first of their keypoints that are seen in over half of the clip's frames.
+    Fore and hind are the first of their keypoints that are seen in over half of the clip's frames. A clip that lacks either, or all
+    thighs, isn't framed: its axes are the picture's, with up upwards (-1), and lengths are its own.
     """
     point = F.struct("u", "v", "conf")
     rows = keypoints.groupBy(*keys, "frame").agg(F.min("t").alias("t"), F.map_from_entries(F.collect_list(F.struct("name", point.alias("p")))).alias("points"))
     w = Window.partitionBy(*keys)
     at = lambda name: F.try_element_at("points", F.lit(name))
     seen = lambda name: F.avg(at(name)["u"].isNotNull().cast("double")).over(w) > 0.5
-    anchor = lambda names: F.coalesce(*[F.when(seen(n), at(n)) for n in names])
+    anchor = lambda names: F.when(seen(names[0]), at(names[0])).when(seen(names[1]), at(names[1]))
     thighs = F.array_compact(F.array(*[at(leg[0]) for leg in LEGS.values()]))
     mean = lambda c: F.when(F.size(thighs) > 0, F.aggregate(thighs, F.lit(0.0), lambda acc, p: acc + p[c]) / F.size(thighs))
-    rows = rows.withColumns({"fore": anchor(FORE), "hind": anchor(HIND), "hips": F.struct(mean("u").alias("u"), mean("v").alias("v"))})
+    framed = (seen(FORE[0]) | seen(FORE[1])) & (seen(HIND[0]) | seen(HIND[1])) & F.max(F.size(thighs) > 0).over(w)
+    rows = rows.withColumns({"framed": framed, "fore": anchor(FORE), "hind": anchor(HIND), "hips": F.struct(mean("u").alias("u"), mean("v").alias("v"))})
+    own = lambda c, u: F.when(F.col("framed"), F.struct(F.col(f"{c}.u").alias("u"), F.col(f"{c}.v").alias("v"))).otherwise(F.struct(F.lit(u).alias("u"), F.lit(0.0).alias("v")))
+    rows = rows.withColumns({"fore": own("fore", 1.0), "hind": own("hind", 0.0), "hips": own("hips", 0.0), "up": F.when(F.col("framed"), 1.0).otherwise(-1.0)})
     long = F.hypot(F.col("fore.u") - F.col("hind.u"), F.col("fore.v") - F.col("hind.v"))
     return rows.withColumn("__l", F.when(long >= 1e-6, long)).withColumn("body", F.median("__l").over(w)).drop("__l")
 
@@ -52,7 +56,7 @@ def leg_series(frames: DataFrame, keys: list[str]) -> DataFrame:
     x, y = G.in_body(xy("l.paw"), xy("hips"), xy("fore"), xy("hind"), F.col("body"))
     thigh = [F.col("l.knee.u") - F.col("l.thigh.u"), F.col("l.knee.v") - F.col("l.thigh.v")]
     shank = [F.col("l.paw.u") - F.col("l.knee.u"), F.col("l.paw.v") - F.col("l.knee.v")]
-    rows = rows.select(*keys, "l.leg", "frame", "t", x.alias("x"), y.alias("y"), F.atan2(thigh[1], thigh[0]).alias("thigh_angle"), G.joint_angle(thigh, shank).alias("knee_angle"), F.least("l.thigh.conf", "l.knee.conf", "l.paw.conf").alias("conf"))
+    rows = rows.select(*keys, "l.leg", "frame", "t", x.alias("x"), (y * F.col("up")).alias("y"), F.atan2(thigh[1], thigh[0]).alias("thigh_angle"), G.joint_angle(thigh, shank).alias("knee_angle"), F.least("l.thigh.conf", "l.knee.conf", "l.paw.conf").alias("conf"))
     one = [*keys, "leg"]
     n = F.count(F.lit(1)).over(Window.partitionBy(*one))
     smooth = lambda c: F.when(n >= SMOOTH, moving_average_edge(c, one, "frame", SMOOTH)).otherwise(F.col(c)).alias(c)

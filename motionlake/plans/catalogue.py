@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import archives, contracts, documents, export, fusion, gate, labels, lineage, manipulation, media, motion, poses, quality, reports, sessions, signals, streams, timeline
+from . import archives, contracts, documents, export, fusion, gaits, gate, labels, lineage, manipulation, media, motion, poses, quality, reports, sessions, signals, streams, timeline
 
-PARTS = (gate, fusion, timeline, manipulation, motion, poses, quality, contracts, labels, export, reports, documents, lineage, signals, sessions, archives, media, streams)
+PARTS = (gate, fusion, timeline, manipulation, motion, poses, quality, contracts, labels, export, reports, documents, lineage, signals, gaits, sessions, archives, media, streams)
 
 
 def queries() -> dict:

@@ -45,3 +45,22 @@ def test_missing_legs_and_anchors(spark):
     rows = spark.createDataFrame([r for r in dog(1) if not r[3].startswith("back_left") and r[3] != "back_base"] + [r for r in dog(3, 4) if r[3] == "tail_base"], "clip long, frame long, t double, name string, u double, v double, conf double")
     found = {r.clip: r for r in G.gait_summary(rows, "clip", "long", FPS).collect()}
     assert found[1].RL is None and found[3].period is None and found[3].gait == "stand"
+
+
+def test_without_anchors_the_picture_is_the_frame(spark):
+    """A clip without a fore anchor, one whose first anchor is seen too seldom, and one without thighs."""
+    ddl = "clip long, frame long, t double, name string, u double, v double, conf double"
+    rows = [r for r in dog(1) if r[3] != "back_base"]
+    rows += [r for r in dog(2) if r[3] != "back_base" or r[1] % 3 == 0] + [(2, i, i / FPS, "neck_base", 60.0 + 2 * i, 0.0, 0.9) for i in range(60)]
+    rows += [r for r in dog(3) if not r[3].endswith("thai")]
+    frames = G.body_frames(spark.createDataFrame(rows, ddl), ["clip"])
+    told = {(r.clip, r.frame): r for r in frames.collect()}
+    assert not told[1, 5].framed and told[1, 5].body == 1.0 and tuple(told[1, 5].hips) == (0.0, 0.0)
+    assert told[2, 5].framed and told[2, 3].fore.u == 66.0 and told[2, 3].body == pytest.approx(110)
+    assert not told[3, 5].framed
+    legs = {(r.leg, r.frame): r for r in G.leg_series(frames, ["clip"]).where("clip = 1").collect()}
+    paw = {(r[3], r[1]): r for r in rows if r[0] == 1}
+    mean = lambda k: sum(paw["front_left_paw", f][k] for f in range(28, 33)) / 5
+    assert legs["FL", 30].x == pytest.approx(mean(4)) and legs["FL", 30].y == pytest.approx(-mean(5))
+    summary = {r.clip: r for r in G.gait_summary(spark.createDataFrame(rows, ddl), "clip", "long", FPS).collect()}
+    assert summary[1].speed == 0.0 and summary[1].gait == "stand" and summary[1].period == pytest.approx(0.5)
