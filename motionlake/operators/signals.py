@@ -168,20 +168,21 @@ def similarities(rows: DataFrame, key: str) -> DataFrame:
     """key, n, scale, r (nine elements, row by row), t (three) and rms of the similarity that takes (x, y, z) to
     (u, v, w) with the least squares. Null for fewer than three rows or if all sources are one point.
 
-    Rows only meet as sums, with map-side combine: nothing of a key is gathered.
+    Rows only meet as centred moments, with map-side combine: nothing of a key is gathered, and coordinates far from the origin
+    lose no digits.
     """
     names = [*SOURCE, *TARGET]
-    sums = [F.sum(c).alias(c) for c in names] + [F.sum(F.col(a) * F.col(b)).alias(f"{a}{b}") for a in TARGET for b in SOURCE]
-    sums += [F.sum(sum((F.col(c) * F.col(c) for c in side[1:]), F.col(side[0]) * F.col(side[0]))).alias(f"{name}{name}") for side, name in ((SOURCE, "s"), (TARGET, "d"))]
+    sums = [F.avg(c).alias(c) for c in names] + [F.covar_pop(a, b).alias(f"{a}{b}") for a in TARGET for b in SOURCE]
+    sums += [sum((F.var_pop(c) for c in side[1:]), F.var_pop(side[0])).alias(name) for side, name in ((SOURCE, "vs"), (TARGET, "vd"))]
     given = rows.where(F.array_size(F.array_compact(F.array(*names))) == len(names))
     one = given.groupBy(key).agg(F.count("*").alias("n"), *sums)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             n = part["n"].to_numpy(dtype=float)
-            ms, md = (part[side].to_numpy() / n[:, None] for side in (SOURCE, TARGET))
-            cov = part[[f"{a}{b}" for a in TARGET for b in SOURCE]].to_numpy().reshape(-1, 3, 3) / n[:, None, None] - md[:, :, None] * ms[:, None, :]
-            vs, vd = part["ss"].to_numpy() / n - (ms**2).sum(axis=1), part["dd"].to_numpy() / n - (md**2).sum(axis=1)
+            ms, md = (part[side].to_numpy() for side in (SOURCE, TARGET))
+            cov = part[[f"{a}{b}" for a in TARGET for b in SOURCE]].to_numpy().reshape(-1, 3, 3)
+            vs, vd = part["vs"].to_numpy(), part["vd"].to_numpy()
             fit = (n >= 3) & (vs >= 1e-12)
             r = best_rotation(cov)
             shared = (r * cov).sum(axis=(1, 2))

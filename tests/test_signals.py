@@ -50,6 +50,20 @@ def test_similarities(spark):
     assert last[3].p95 == pytest.approx(np.percentile(error, 95)) and last[4].p95 is None
 
 
+@pytest.mark.parametrize("far", [0.0, 1e6, 1e7])
+def test_similarities_far_from_the_origin(spark, far):
+    rng = np.random.default_rng(6)
+    p = rng.normal(size=(200, 3))
+    turn = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+    turn *= np.sign(np.linalg.det(turn))
+    noise = 0.01 * rng.normal(size=p.shape)
+    q = 2.0 * p @ turn.T + noise
+    rows = [(1, *map(float, a + far), *map(float, b - 3 * far)) for a, b in zip(p, q, strict=True)]
+    got = S.similarities(spark.createDataFrame(rows, "k long, x double, y double, z double, u double, v double, w double"), "k").collect()[0]
+    assert got.scale == pytest.approx(2.0, abs=2e-3) and got.rms == pytest.approx(np.sqrt((noise**2).sum(axis=1).mean()), rel=0.03)
+    assert np.allclose(np.array(got.r).reshape(3, 3), turn, atol=2e-3)
+
+
 def test_the_median_of_long_series(monkeypatch):
     x = np.random.default_rng(2).normal(size=(120, 2))
     whole = S.median_distance(x)
