@@ -159,7 +159,7 @@ def feasibility_verdict(mask: DataFrame, keys: list[str], limits: QualityLimits
     return rows.withColumn("gate_passed", (F.col("recommendation") != "reject") & F.col("plausible"))
 
 
-#: Checks that need a physics engine: always skipped here.
+#: Checks that joints alone don't tell: two need a physics engine, ``robots.foot_slide`` needs contacts.
 SKIPPED = ["self_collision", "ground_penetration", "foot_slide"]
 
 
