@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,27 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes not to meet a column of docs."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def sheltered(work: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFrame:
+    """work(docs), which gives the columns of docs, for docs of any column names: those that begin with two underscores, as the
+    operators' own do, and those that have to be quoted have other names meanwhile."""
+    odd = [c for c in docs.columns if c.startswith("__") or "." in c or "`" in c]
+    if not odd:
+        return work(docs)
+    other = dict(zip(odd, fresh(docs, *[f"sheltered_{k}" for k in range(len(odd))]), strict=True))
+    return work(docs.toDF(*[other.get(c, c) for c in docs.columns])).toDF(*docs.columns)
+
+
 def forget(*frames: DataFrame) -> None:
     """Remove tables that ``written`` made and nothing reads any more."""
     for df in frames:

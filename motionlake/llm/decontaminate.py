@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, release
+from .common import new_folder, release, sheltered
 from .files import file_system, open_file
 from .fm_index import FMIndex
 
@@ -223,10 +223,14 @@ def contaminated() -> Column:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents that aren't contaminated, with all their columns. Rows of a contaminated key and text go."""
-    row = F.struct(F.xxhash64(F.col(key), F.col(text)).alias("a"), F.hash(F.col(key), F.col(text)).alias("b"))
-    rows = docs.select(row.alias("__row"), F.col(text).alias("__text"))
-    bad = find_contamination(rows, benchmark, "__text", "__row").where(contaminated()).select(F.col("__row").alias("__bad")).distinct()
-    return docs.withColumn("__row", row).join(bad, F.col("__row") == F.col("__bad"), "left_anti").drop("__row")
+
+    def work(docs: DataFrame) -> DataFrame:
+        row = F.struct(F.xxhash64(F.col(key), F.col(text)).alias("a"), F.hash(F.col(key), F.col(text)).alias("b"))
+        rows = docs.select(row.alias("__row"), F.col(text).alias("__text"))
+        bad = find_contamination(rows, benchmark, "__text", "__row").where(contaminated()).select(F.col("__row").alias("__bad")).distinct()
+        return docs.withColumn("__row", row).join(bad, F.col("__row") == F.col("__bad"), "left_anti").drop("__row")
+
+    return sheltered(work, docs)
 
 
 def without_spans(text: str, spans: list) -> str:

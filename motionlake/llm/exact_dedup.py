@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, sheltered, written
 
 #: Bits of a block: what ``bitmap_construct_agg`` holds.
 BLOCK_BITS = 32_768
@@ -45,17 +45,6 @@ class Plan:
     hot: int
 
 
-def fresh(docs: DataFrame, *names: str) -> list[str]:
-    """The names, each with as many underscores before it as it takes not to meet a column of docs."""
-    taken = {c.lower() for c in docs.columns}
-    out = []
-    for name in names:
-        while name.lower() in taken:
-            name = f"_{name}"
-        out.append(name)
-    return out
-
-
 def cell_of(text_hash: Column, cells: int) -> Column:
     return F.pmod(text_hash, F.lit(cells))
 
@@ -150,15 +139,19 @@ def verdicts(docs: DataFrame, filters: Filters = Filters(), text: str = "text",
 
 def keep_one(docs: DataFrame, filters: Filters = Filters(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs without the copies, with all columns; exactly one row of each text stays. Texts that do not repeat aren't shuffled."""
-    h, maybe, sha, stays_key, stays_sha = fresh(docs, "h", "maybe", "sha", "stays_key", "stays_sha")
-    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = digests(docs, text, key)
-    _, grouped, sizes, again = judged(rows, filters)
-    # The row that stays, for repeated texts; rows that repeat key and text are one.
-    stays = grouped.where(F.col("group_size").isNull() | F.col("key").eqNullSafe(F.col("keep_id"))).select("key", "sha").distinct()
-    parted = told_apart(docs.withColumn(h, F.xxhash64(whole)), F.col(h), again, sizes, filters, maybe)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    again_rows = parted.where(F.col(maybe)).withColumn(sha, F.unhex(F.sha2(whole, 256)))
-    stays = stays.select(F.col("key").alias(stays_key), F.col("sha").alias(stays_sha))
-    chosen = again_rows.join(stays, (F.col(sha) == F.col(stays_sha)) & F.col(f"`{key}`").eqNullSafe(F.col(stays_key)), "left_semi")
-    return parted.where(~F.col(maybe)).select(*columns).unionAll(chosen.dropDuplicates([key, sha]).select(*columns))
+
+    def work(docs: DataFrame) -> DataFrame:
+        h, maybe, sha, stays_key, stays_sha = fresh(docs, "h", "maybe", "sha", "stays_key", "stays_sha")
+        whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+        rows = digests(docs, text, key)
+        _, grouped, sizes, again = judged(rows, filters)
+        # The row that stays, for repeated texts; rows that repeat key and text are one.
+        stays = grouped.where(F.col("group_size").isNull() | F.col("key").eqNullSafe(F.col("keep_id"))).select("key", "sha").distinct()
+        parted = told_apart(docs.withColumn(h, F.xxhash64(whole)), F.col(h), again, sizes, filters, maybe)
+        columns = [F.col(f"`{c}`") for c in docs.columns]
+        again_rows = parted.where(F.col(maybe)).withColumn(sha, F.unhex(F.sha2(whole, 256)))
+        stays = stays.select(F.col("key").alias(stays_key), F.col("sha").alias(stays_sha))
+        chosen = again_rows.join(stays, (F.col(sha) == F.col(stays_sha)) & F.col(f"`{key}`").eqNullSafe(F.col(stays_key)), "left_semi")
+        return parted.where(~F.col(maybe)).select(*columns).unionAll(chosen.dropDuplicates([key, sha]).select(*columns))
+
+    return sheltered(work, docs)

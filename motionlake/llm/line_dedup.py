@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sheltered
 from .line_quality import dropped_lines, line_counts, row_key, without_lines
 
 
@@ -48,6 +49,10 @@ def drop_boilerplate(docs: DataFrame, rules: SiteRules = SiteRules(), text: str
 
 def clean_documents(docs: DataFrame, rules: SiteRules = SiteRules(), text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
     """docs with the text cleaned and n_chars, where there is such a column, brought in line."""
-    out = drop_boilerplate(docs, rules, text, host, key)
-    size = F.when(F.col("__n_dropped") > 0, F.length(text)).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    return out.select(*[size.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns])
+
+    def work(docs: DataFrame) -> DataFrame:
+        out = drop_boilerplate(docs, rules, text, host, key)
+        size = F.when(F.col("__n_dropped") > 0, F.length(text)).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+        return out.select(*[size.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns])
+
+    return sheltered(work, docs)

@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sheltered, written
+
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -120,9 +122,11 @@ def without_lines(text: Column) -> Column:
     return F.when(F.col("__drop").isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
-def quality_verdicts(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
-    """key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words, kept and __rk."""
-    frequent = frequent_lines(docs, rules, text, host)
+def quality_verdicts(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text", host: str = "source", key: str = "doc_id", frequent: DataFrame | None = None) -> DataFrame:
+    """key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words, kept and __rk.
+
+    frequent: the hashes (__h) of the lines above the limits, where they are known already."""
+    frequent = frequent_lines(docs, rules, text, host) if frequent is None else frequent
     rk = row_key(text, host, key)
     removed = (
         line_rows(docs, text, host, {"__rk": rk})
@@ -152,12 +156,17 @@ def quality_verdicts(docs: DataFrame, rules: LineRules = LineRules(), text: str
 
 def keep_good(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
     """The documents that no rule rejects, without their frequent lines, with all their columns."""
-    rk = row_key(text, host, key)
-    bad = quality_verdicts(docs, rules, text, host, key).where(~F.col("kept")).select(F.col("__rk").alias("__bad")).distinct()
-    drop = dropped_lines(docs, frequent_lines(docs, rules, text, host), rk, text, host)
-    good = docs.withColumn("__rk", rk).join(bad, F.col("__rk") == F.col("__bad"), "left_anti")
-    good = good.join(drop, F.col("__rk") == F.col("__rk2"), "left").withColumn("__clean", without_lines(F.col(text)))
-    new = {text: F.col("__clean")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("__drop").isNull(), F.col("n_chars")).otherwise(F.length("__clean")).cast(docs.schema["n_chars"].dataType)
-    return good.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+    def work(docs: DataFrame) -> DataFrame:
+        rk = row_key(text, host, key)
+        frequent = written(frequent_lines(docs, rules, text, host), "frequent")
+        bad = quality_verdicts(docs, rules, text, host, key, frequent).where(~F.col("kept")).select(F.col("__rk").alias("__bad")).distinct()
+        drop = dropped_lines(docs, frequent, rk, text, host)
+        good = docs.withColumn("__rk", rk).join(bad, F.col("__rk") == F.col("__bad"), "left_anti")
+        good = good.join(drop, F.col("__rk") == F.col("__rk2"), "left").withColumn("__clean", without_lines(F.col(text)))
+        new = {text: F.col("__clean")}
+        if "n_chars" in docs.columns:
+            new["n_chars"] = F.when(F.col("__drop").isNull(), F.col("n_chars")).otherwise(F.length("__clean")).cast(docs.schema["n_chars"].dataType)
+        return good.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+    return sheltered(work, docs)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import order_minhash
-from .common import forget, release, written
+from .common import forget, release, sheltered, written
 
 SIMILARITY = 0.8
 #: Members of a bucket whose pairs come from a join; those of larger ones come from blocks of about BLOCK members each.
@@ -157,9 +157,9 @@ def is_link(similarity: float) -> Column:
     return F.col("edits").isNotNull() & (F.col("edits") <= (1 - similarity) * F.greatest("na", "nb") + 1e-9)
 
 
-def linked(docs: DataFrame, reps: DataFrame, text: str, key: str, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Of representatives (id, k1, n, sketch, bag): a, b, the verified links; pairs that others join may be missing. And
-    id, label: the components of the links."""
+def linked(docs: DataFrame, reps: DataFrame, text: str, key: str, similarity: float, tell: bool = False) -> tuple[DataFrame | None, DataFrame]:
+    """Of representatives (id, k1, n, sketch, bag): a, b, the verified links, if they are to be told; pairs that others join may be
+    missing. And id, label: the components of the links."""
     members = reps.select(F.explode("sketch").alias("bucket"), "id")
     shared = members.groupBy("bucket").count().where("count > 1").select("bucket")
     members = written(members.join(shared, "bucket"), "members")
@@ -204,7 +204,7 @@ def linked(docs: DataFrame, reps: DataFrame, text: str, key: str, similarity: fl
     left = labelled(labelled(untried(open_pairs.select("a", "b")), labels, "a", "la"), labels, "b", "lb").where("la != lb")
     settled = aligned(left.select("a", "b"), "settled")
     labels = merged(labels, settled.where(is_link(similarity)))
-    links = written(known.unionByName(settled).where(is_link(similarity)).select("a", "b"), "links")
+    links = written(known.unionByName(settled).where(is_link(similarity)).select("a", "b"), "links") if tell else None
     forget(*gone, known, settled, members, texts, rest, open_pairs)
     return links, labels
 
@@ -276,12 +276,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text",
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One document of each class, the one of the least id, with all columns; rows without an id stay."""
-    found = classes(docs, similarity, text, key)
-    gone = found.where(F.col("class_id") != F.col(key)).select(F.col(key).alias("__gone")).distinct()
-    left = docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")
-    twice = found.where("n_rows > 1").select(F.col(key).alias("__twice")).distinct()
-    if twice.isEmpty():
-        return left
-    once = left.join(twice, F.col(key) == F.col("__twice"), "left_anti")
-    again = left.join(twice, F.col(key) == F.col("__twice"), "left_semi").withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy(text)))
-    return once.unionByName(again.where("__k = 1").drop("__k"))
+
+    def work(docs: DataFrame) -> DataFrame:
+        found = classes(docs, similarity, text, key)
+        gone = found.where(F.col("class_id") != F.col(key)).select(F.col(key).alias("__gone")).distinct()
+        left = docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")
+        twice = found.where("n_rows > 1").select(F.col(key).alias("__twice")).distinct()
+        if twice.isEmpty():
+            return left
+        once = left.join(twice, F.col(key) == F.col("__twice"), "left_anti")
+        again = left.join(twice, F.col(key) == F.col("__twice"), "left_semi").withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy(text)))
+        return once.unionByName(again.where("__k = 1").drop("__k"))
+
+    return sheltered(work, docs)

@@ -99,7 +99,7 @@ def links_of(spark, texts, sketches):
     docs = documents(spark, texts)
     given = spark.createDataFrame(list(enumerate(sketches)), "id long, sketch array<long>")
     reps = N.sketches(docs, "text", "doc_id").drop("sketch").join(given, "id")
-    return {(r.a, r.b) for r in N.linked(docs, reps, "text", "doc_id", 0.8)[0].collect()}
+    return {(r.a, r.b) for r in N.linked(docs, reps, "text", "doc_id", 0.8, tell=True)[0].collect()}
 
 
 def strangers_and_a_pair(strangers):
