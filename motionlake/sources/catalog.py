@@ -7,6 +7,10 @@ folder is walked on the driver.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +31,7 @@ TRANSCRIPT = "transcript array<struct<action:string,args:struct<name:string>>>,
 
 def documents(spark: SparkSession, folder: str, pattern: str, schema: str) -> DataFrame:
     """path (relative to the folder), doc (null if it isn't the JSON that was asked for) and error, one row a file."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True)
     rows = files.select(relative(F.col("_metadata.file_path"), folder).alias("path"), F.from_json("value", schema).alias("doc"), F.try_parse_json("value").isNull().alias("bad"))
     return rows.select("path", F.when(~F.col("bad"), F.col("doc")).alias("doc"), F.when(F.col("bad"), F.lit("invalid_json")).alias("error"))
 
@@ -168,8 +172,22 @@ def provider_counts(rows: DataFrame, key: str = "run") -> DataFrame:
 
 
 def yaml_rows(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """A small configuration's list under key as rows."""
-    import yaml
-
-    text = "\n".join(r.value for r in spark.read.text(path).limit(100_000).collect())
-    return spark.createDataFrame(yaml.safe_load(text).get(key) or [], schema)
+    """path and the rows of each configuration's list under key; a file is parsed whole by the task that reads it. Files that are no
+    YAML, or have no such list, have no rows; values of another type than the schema's are null."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+
+        for part in parts:
+            out = []
+            for name, text in zip(part["path"], part["value"], strict=True):
+                try:
+                    found = yaml.safe_load(text)
+                except yaml.YAMLError:
+                    continue
+                rows = found.get(key) if isinstance(found, dict) else None
+                out += [(name, json.dumps(r, default=str)) for r in (rows if isinstance(rows, list) else [])]
+            yield pd.DataFrame(out, columns=["path", "entry"], dtype="object")
+
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return files.mapInPandas(run, "path string, entry string").select("path", F.from_json("entry", schema).alias("r")).select("path", "r.*")

@@ -36,7 +36,7 @@ def read_json(spark: SparkSession, path: str, schema: str, strict: bool = False)
 
 def read_variants(spark: SparkSession, path: str) -> DataFrame:
     """Untyped documents: path and doc (VARIANT, null where the text is no JSON)."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("doc"))
 
 

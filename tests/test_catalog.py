@@ -12,7 +12,7 @@ def put(root, path, content):
 
 
 def test_runs(spark, tmp_path):
-    put(tmp_path, "r1/manifest.json", {"kind": "verify", "decision": "accept", "plausibility_score": 0.9})
+    put(tmp_path, "r1/manifest.json", json.dumps({"kind": "verify", "decision": "accept", "plausibility_score": 0.9}, indent=2))
     put(tmp_path, "r2/manifest.json", "{broken")
     put(tmp_path, "r3/clips/a b.mp4", "xyz")
     found = {r.run: r for r in C.runs(spark, str(tmp_path), "http://h/assets/").collect()}
@@ -73,7 +73,14 @@ def test_catalogs_and_constants(spark, tmp_path):
     assert C.with_constants(found, fixed, "source_id", only_if_empty=True).count() == 1
     assert C.with_constants(found.limit(0), fixed, "source_id", only_if_empty=True).count() == 2
     put(tmp_path, "robots.yaml", "robots:\n  - {name: go2, dof: 12}\n  - {name: g1, dof: 29}\n")
-    assert [r.dof for r in C.yaml_rows(spark, str(tmp_path / "robots.yaml"), "dof int, name string", "robots").collect()] == [12, 29]
+    put(tmp_path, "broken.yaml", "robots: [unclosed")
+    put(tmp_path, "other.yaml", "- a list")
+    put(tmp_path, "empty.yaml", "robots:")
+    put(tmp_path, "long.yaml", "robots:\n" + "".join(f"  - {{name: r{i}, dof: {i}}}\n" for i in range(3_000)) + "\n" * 120_000 + "  - {name: last, dof: many}\n")
+    rows = C.yaml_rows(spark, f"{tmp_path}/*.yaml", "dof int, name string", "robots").collect()
+    assert [r.dof for r in rows if r.path.endswith("robots.yaml")] == [12, 29]
+    assert {r.path.rpartition("/")[2] for r in rows} == {"robots.yaml", "long.yaml"}
+    assert len(rows) == 3_003 and [(r.name, r.dof) for r in rows if r.name == "last"] == [("last", None)]
 
 
 def test_transcripts(spark, tmp_path):
@@ -81,3 +88,9 @@ def test_transcripts(spark, tmp_path):
     rows = C.transcripts(spark, str(tmp_path))
     assert rows.collect()[0].actions == ["pose", "FIN"] and rows.collect()[0].n_steps == 3
     assert {(r.provider, r.n) for r in C.provider_counts(rows).collect()} == {("a", 2), ("b", 1)}
+
+
+def test_predictions_have_both_documents(spark):
+    segments = spark.createDataFrame([("a", 1), ("b", 2)], "clip string, segments int")
+    reports = spark.createDataFrame([("b", "ok"), ("c", "no")], "clip string, report string")
+    assert [tuple(r) for r in C.predictions(segments, reports, "clip").collect()] == [("b", 2, "ok")]

@@ -1,13 +1,15 @@
 """Every query against its SQL on the small tables."""
 
 import decimal
+import os
 
 import duckdb
 import pytest
 
 from motionlake.plans import catalogue
 
-SF = "/root/testdata/sf0.001"
+#: MOTIONLAKE_SF names another size.
+SF = os.environ.get("MOTIONLAKE_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
 

@@ -18,7 +18,7 @@ def test_guarded_scan(spark, tmp_path):
 
 
 def test_documents(spark, tmp_path):
-    (tmp_path / "a.json").write_text(json.dumps({"id": 1, "tags": ["x"], "more": 5}))
+    (tmp_path / "a.json").write_text(json.dumps({"id": 1, "tags": ["x"], "more": 5}, indent=2))
     (tmp_path / "b.json").write_text('{"id": ')
     rows = {r.id: r for r in tables.read_json(spark, str(tmp_path), "id long, tags array<string>").collect()}
     assert rows[1].tags == ["x"] and rows[None]._corrupt is not None
@@ -64,3 +64,31 @@ def test_histories_and_boards(spark):
     assert [r.at for r in tables.prefer(new, old, "id").where("id = 7").collect()] == ["2025"]
     assert tables.newest(old.withColumn("g", old.id % 2), ["g"], "at").count() == 2
     assert list(sinks.markdown(new, ["id", "at"]))[0] == "| id | at |"
+
+
+def test_csv_with_a_header(spark, tmp_path):
+    (tmp_path / "scenes.csv").write_text("Start,End\n0.5,2\nbad,3\n4,5.5\n")
+    rows = tables.read_csv(spark, f"{tmp_path}/scenes.csv", "start double, stop double").collect()
+    assert [tuple(r) for r in rows] == [(0.5, 2.0), (None, 3.0), (4.0, 5.5)]
+    sinks.write_csv(spark.createDataFrame([(1, "a,b"), (2, None)], "frame int, name string"), f"{tmp_path}/out")
+    again = tables.read_csv(spark, f"{tmp_path}/out", "frame int, name string").orderBy("frame").collect()
+    assert [tuple(r) for r in again] == [(1, "a,b"), (2, None)]
+
+
+def test_json_documents_and_logs(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "ü", None), (2, None, [3])], "id int, name string, tags array<int>")
+    sinks.write_documents(rows, f"{tmp_path}/docs")
+    text = sorted(r.value for r in spark.read.text(f"{tmp_path}/docs").collect())
+    assert text == ['{"id":1,"name":"ü"}', '{"id":2,"tags":[3]}']
+    for _ in range(2):
+        sinks.append_log(rows.select("id"), f"{tmp_path}/log")
+    assert spark.read.json(f"{tmp_path}/log").count() == 4
+
+
+def test_report_documents(spark):
+    scores = spark.createDataFrame([(1, 0.456, False, "jumps"), (2, 1.0, True, None)], "episode_id long, score double, plausible boolean, reason string")
+    violations = spark.createDataFrame([(1, "jump", 0.4, [3], 7), (1, "skate", 0.987, [1, 2], 8)], "episode_id long, type string, severity double, frames array<bigint>, track_id long")
+    got = {r.episode_id: json.loads(r.report) for r in sinks.report_documents(scores, violations).collect()}
+    assert got[1]["score"] == 0.46 and [(v["type"], v["severity"], v["frames"]) for v in got[1]["violations"]] == [("skate", 0.99, [1, 2]), ("jump", 0.4, [3])]
+    assert got[2] == {"score": 1.0, "plausible": True, "violations": []}
+    assert list(sinks.markdown(scores, ["episode_id", "reason"])) == ["| episode_id | reason |", "|---|---|", "| 1 | jumps |", "| 2 |  |"]
