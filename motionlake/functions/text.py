@@ -104,7 +104,8 @@ def cam_spec(spec: Column) -> Column:
 
 
 def job_id(prompt: Column, at: Column) -> Column:
-    """A job's id: 24 characters of the prompt, and six of a hash of prompt and time."""
+    """A job's id: 24 characters of the prompt, and six of the SHA-256 of prompt and time (Spark has no BLAKE2, so ids made elsewhere
+    by that hash differ)."""
     s = F.left(F.regexp_replace(F.regexp_replace(F.lower(prompt), "[^a-z0-9]+", "_"), "^_+|_+$", ""), F.lit(24))
     return F.concat_ws("_", F.coalesce(F.nullif(s, F.lit("")), F.lit("job")), F.left(F.sha2(F.concat_ws(":", prompt, at), 256), F.lit(6)))
 

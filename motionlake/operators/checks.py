@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import BONES, L_ANKLE, L_HIP, L_SHOULDER, L_WRIST, OTHER_WEIGHT, R_ANKLE, R_HIP, R_SHOULDER, R_WRIST, WEIGHTS, Thresholds
+from ..sources.shared import held
 from .kinematics import TRACK, centers, ground_line, runs, velocities, with_diagonal, with_next
 
 OUT = ["episode_id", "type", "severity", "frames", "is_person", "track_id", "label", "gate"]
@@ -243,12 +243,12 @@ def object_deformation(tracks: DataFrame, th: Thresholds) -> DataFrame:
 def all_checks(tracks: DataFrame, kpts: DataFrame, clips: DataFrame, th: Thresholds = Thresholds(), shared: bool = False) -> dict[str, DataFrame]:
     """Violations by check, in the order in which the checks count.
 
-    shared: the velocities that most checks read are kept in memory and on disk, so they are made once for all checks;
-    what is lost with an executor is made again.
+    shared: the velocities that most checks read are kept in memory and on disk, so they are made once for all checks,
+    until they are made of another table; what is lost with an executor is made again.
     """
     vel, ground = velocities(tracks, clips), ground_line(kpts, th)
     if shared:
-        vel = vel.persist(StorageLevel.MEMORY_AND_DISK)
+        vel = held(vel, "velocities")
     return {
         "trajectory_jump": trajectory_jump(vel, th),
         "body_deformation": body_deformation(tracks.where("is_person"), kpts, clips, th),

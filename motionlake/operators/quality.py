@@ -135,6 +135,7 @@ def crosschecks(episodes: DataFrame, checks: list[DataFrame], keys: list[str], s
 
 def feasibility_mask(body: DataFrame, keys: list[str], limits: QualityLimits = QualityLimits()) -> DataFrame:
     """keys, t, vel_spike, acc_spike, physics_violation and conf of each frame; both marks stand at the start of the motion.
+    acc_spike is what others call a foot's slide: a change of speed, whatever moves.
 
     The acceleration is the change of all joints' speeds together over the later step.
     """

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import adapters
 from ..operators import checks, kinematics
 from ..schemas import BONES, WEIGHTS, Thresholds
+from ..sources import shared
 
 #: The views' tracks are coarse; these thresholds find something in them.
 TH = replace(
@@ -35,7 +35,7 @@ class Clip:
 
     def violations(self) -> DataFrame:
         """Of all checks: the boxes are aggregated once and kept for them."""
-        self.use(self.tracks.persist(StorageLevel.MEMORY_AND_DISK))
+        self.use(shared.held(self.tracks, "tracks"))
         return checks.union_all(self.checks(shared=True))
 
 

@@ -5,8 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+#: What ``held`` keeps in each session, by name.
+_HELD: dict[tuple[int, str], DataFrame] = {}
+
 
 def root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, or where it is unset, as in tests, a folder of our own on a local master; a cluster has to name one."""
@@ -31,3 +35,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def held(df: DataFrame, name: str) -> DataFrame:
+    """df, kept in memory and on disk until the next table of that name is; an earlier one that is still used is made again."""
+    key = (id(df.sparkSession), name)
+    before = _HELD.pop(key, None)
+    if before is not None:
+        before.unpersist()
+    _HELD[key] = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return _HELD[key]
