@@ -159,6 +159,73 @@ g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
 """
 
+#: The CRC-32 table, and the CRC of a text of ASCII and À-ÿ as UTF-8.
+CRC_TABLE = "crcs AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)))"
+
+
+def crc_sql(text: str) -> str:
+    utf8 = f"flatten([CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(195 AS BIGINT), unicode(c) - 64] END FOR c IN string_split({text}, '')])"
+    return f"xor(list_reduce([CAST(4294967295 AS BIGINT)] || {utf8}, lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (SELECT doc_id, translate(run, '{spelling.UPPER}', '{spelling.LOWER}') AS run FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 5),
+per AS (SELECT doc_id, run, count(*) AS k FROM runs GROUP BY ALL),
+h AS (SELECT run, k, {crc_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM per, crcs),
+words AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT k, CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h) WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+cuts AS (SELECT word, n, i, left(word, i) AS head, substr(word, i + 2) AS tail FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION SELECT w.word, c.word, c.n FROM words w JOIN cuts c ON c.head || c.tail = w.word UNION SELECT c.word, w.word, w.n FROM words w JOIN cuts c ON c.head || c.tail = w.word),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM near GROUP BY word),
+forms AS MATERIALIZED (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, min(near) AS form, min(near_n) AS form_n FROM words w LEFT JOIN best b USING (word) LEFT JOIN near ON near.word = w.word AND near_n = b.top AND b.top >= 2 * w.n GROUP BY ALL),
+way AS (SELECT word, form AS upto FROM forms WHERE form IS NOT NULL UNION ALL SELECT way.word, f.form FROM way JOIN forms f ON f.word = way.upto WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, coalesce(r.root, f.word) AS root, f.n, f.n_near, f.form_n
+FROM forms f LEFT JOIN (SELECT way.word, upto AS root FROM way JOIN forms e ON e.word = way.upto WHERE e.form IS NULL) r ON r.word = f.word
+"""
+
+
+def edit_sql() -> str:
+    """Cheapest edits by the turns of a list: a state's best is its cost in six digits before its audit, so the least text is best. s2
+    and s3 take what an insertion leads to."""
+    more = lambda s, k, letter: f"lpad(CAST(CAST(left({s}, 6) AS BIGINT) + {k} AS VARCHAR), 6, '0') || substr({s}, 7) || '{letter}'"
+    s, t = [f"s[{i}]" for i in (1, 2, 3, 4)], "(CASE WHEN c IN ('S', 'U', 'A', 'O') THEN 1 ELSE 0 END)"
+    into = lambda letter, when, k, froms: ", ".join(f"CASE WHEN {when} THEN {more(s[f], f'{k} + {t}', letter)} END" for f in froms)
+    gone = [more(x, turn_repair.DELETE, "D") for x in s]
+    stays = "c <> 'x'"
+    turn = [
+        gone[0],
+        f"least({gone[1]}, {into('K', 'lower(c) = ' + chr(39) + 's' + chr(39), 0, [0])})",
+        f"least({gone[2]}, {into('K', 'lower(c) = ' + chr(39) + 'u' + chr(39), 0, [0, 1, 3])}, {into('R', stays, turn_repair.REROLE, [0, 1, 3])})",
+        f"least({gone[3]}, {into('K', 'lower(c) = ' + chr(39) + 'a' + chr(39), 0, [2])}, {into('R', stays, turn_repair.REROLE, [2])})",
+    ]
+    insert = lambda x: more(x, turn_repair.INSERT, "I")
+    two = f"[s[1], s[2], least(s[3], {insert('s[1]')}, {insert('s[2]')}, {insert('s[4]')}), s[4]]"
+    three = f"[s[1], s[2], s[3], least(s[4], {insert('s[3]')})]"
+    steps = "[['2'], ['3']] || flatten([[[c], ['2'], ['3']] FOR c IN turns])"
+    return f"list_reduce([['000000', NULL, NULL, NULL]] || ({steps}), lambda s, one: CASE one[1] WHEN '2' THEN {two} WHEN '3' THEN {three} ELSE [{', '.join(x.replace(' c ', ' one[1] ').replace('(c)', '(one[1])') for x in turn)}] END)"
+
+
+SPACES = r"[\x20\x09-\x0D]"
+OP13_SQL = f"""
+WITH {CRC_TABLE},
+r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS d FROM conversations, crcs),
+m AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS copy FROM r WHERE d <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, regexp_replace(text, '{SPACES}+$', '') AS said FROM m),
+f AS (SELECT *, CASE WHEN said = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  coalesce(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal FROM o),
+l AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' WHEN fault = 'truncated' THEN CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN upper(left(role, 1)) ELSE 'O' END WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS letter FROM f),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (illegal) AS illegal, list(letter ORDER BY i) AS turns FROM l GROUP BY conv_id),
+e AS (SELECT * EXCLUDE (turns), {edit_sql()} AS s FROM c),
+a AS (SELECT * EXCLUDE (s), CAST(left(least(s[1], s[4]), 6) AS BIGINT) AS cost, substr(least(s[1], s[4]), 7) AS audit FROM e),
+k AS (SELECT conv_id, p, audit[p] AS edit, sum(CASE WHEN audit[p] = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY p) AS i FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS p FROM a)),
+t AS (SELECT k.conv_id, k.p, k.edit, CASE WHEN edit <> 'I' THEN l.text ELSE '' END AS text, l.role, row_number() OVER w AS place, first(edit = 'K' AND left(l.role, 1) = 's') OVER w AS has_s FROM k LEFT JOIN l ON l.conv_id IS NOT DISTINCT FROM k.conv_id AND l.i = k.i AND k.edit <> 'I' WHERE edit <> 'D' WINDOW w AS (PARTITION BY k.conv_id ORDER BY k.p)),
+d AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - CAST(coalesce(has_s, false) AS INTEGER)) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p) AS said FROM t GROUP BY conv_id)
+SELECT q.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM q.conv_id LEFT JOIN d ON d.conv_id IS NOT DISTINCT FROM q.conv_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -179,4 +246,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": OP8_SQL, "op9_line_dedup": OP9_SQL, "op12_exact_dedup": OP12_SQL}
+    return {"op8_quality_rules": OP8_SQL, "op9_line_dedup": OP9_SQL, "op11_spelling_variants": OP11_SQL, "op12_exact_dedup": OP12_SQL, "op13_turn_repair": OP13_SQL}

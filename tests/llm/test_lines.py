@@ -15,7 +15,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for name_of in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {name_of} AS SELECT * FROM '{SF}/{name_of}.parquet'")
     df = Q.queries()[name](spark, SF)
     columns = sorted(df.columns)
     result = con.execute(Q.oracle_sql()[name])
