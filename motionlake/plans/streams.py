@@ -69,7 +69,11 @@ def tracker_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tracked(trackers.run_to_end(trackers.track_stream(_detections(events), ["user_id"], adapters.FPS, "0 seconds"), shared.new_folder(spark, "trackers")))
 
 
-NAMES = [tumbling_counts, sliding_average, session_windows, dedup_stream, log_search, job_state, tracker_rows, tracker_stream, approx_users]
+def numbered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.numbered(_events(spark, sf_dir).select("ts", "event_id", "event_type"), ["ts", "event_id"], 1).select("id", "event_id", "event_type")
+
+
+NAMES = [tumbling_counts, sliding_average, session_windows, dedup_stream, log_search, job_state, tracker_rows, tracker_stream, numbered_log, approx_users]
 
 
 def queries() -> dict:
@@ -86,6 +90,7 @@ TRACKS_SQL = f"""WITH e AS (SELECT user_id, event_id AS frame, epoch_ms(ts) AS m
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "numbered_log": "SELECT row_number() OVER (ORDER BY ts, event_id) AS id, event_id, event_type FROM events",
         "tracker_rows": TRACKS_SQL,
         "tracker_stream": TRACKS_SQL,
         "tumbling_counts": "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",

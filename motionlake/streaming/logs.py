@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 #: How late an event may be.
 LATE = "1 hour"
 
@@ -46,6 +48,48 @@ def without_repeats(events: DataFrame, *keys: str) -> DataFrame:
     return rows.dropDuplicatesWithinWatermark(list(keys)) if rows.isStreaming else rows.dropDuplicates(list(keys))
 
 
+def numbered(rows: DataFrame, order: list[str], start: int = 0) -> DataFrame:
+    """rows with id: their places in order, from start on, without gaps.
+
+    Rows are dealt out by ranges of the order and written with their place in their range; only the ranges' sizes go to the driver.
+    Rows alike in the whole order keep one range, in any order.
+    """
+    place = F.monotonically_increasing_id()  # the range's number above 33 bits of the place in it
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", place)
+    kept = written(ranged.select("*", F.shiftright("__at", 33).alias("__range"), F.col("__at").bitwiseAND((1 << 33) - 1).alias("__place")).drop("__at"), "numbered")
+    sizes = sorted((r["__range"], r["count"]) for r in kept.groupBy("__range").count().collect())
+    starts, at = [], start
+    for part, size in sizes:
+        starts.append((part, at))
+        at += size
+    first = rows.sparkSession.createDataFrame(starts, "__range long, __start long")
+    return kept.join(F.broadcast(first), "__range").withColumn("id", F.col("__start") + F.col("__place")).drop("__range", "__place", "__start")
+
+
+def append_numbered(stream: DataFrame, folder: str, order: list[str]) -> None:
+    """Append all that a stream has to a log (folder/log) with dense ids that go on over batches and runs.
+
+    Each batch has a folder of its own, which is written anew if the batch is; its ids begin behind those of the batches before it,
+    so a batch that is run again gets the ids that it had.
+    """
+
+    def append(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        start = 0
+        if number > 0:
+            before = read_log(spark, folder, batch.schema).where(F.col("batch") < number).agg(F.max("id")).first()[0]
+            start = 0 if before is None else before + 1
+        numbered(batch, order, start).write.mode("overwrite").parquet(f"{folder}/log/batch={number}")
+
+    query = stream.writeStream.foreachBatch(append).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def read_log(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """The log's rows with id and batch."""
+    return spark.read.schema(schema.add("id", "long") if "id" not in schema.names else schema).option("basePath", f"{folder}/log").parquet(f"{folder}/log/batch=*")
+
+
 def since(log: DataFrame, last_id: int | None) -> DataFrame:
     """Entries after an id, or all."""
     return log if last_id is None else log.where(F.col("id") > last_id)

@@ -43,3 +43,18 @@ def test_log_filters(spark):
     assert [r.id for r in logs.matching(log, text="hello").orderBy("id").collect()] == [1, 3]
     assert [r.id for r in logs.matching(log, level="warn", text="b7").collect()] == [2]
     assert [r.id for r in logs.since(log, 1).orderBy("id").collect()] == [2, 3] and logs.since(log, None).count() == 3
+
+
+def test_ids_go_on_without_gaps_and_stay_when_a_batch_is_run_again(spark, tmp_path):
+    table, stream = events(spark, tmp_path)
+    folder = f"{tmp_path}/numbered"
+    logs.append_numbered(stream, folder, ["ts", "event_id"])
+    told = lambda: sorted((r.id, r.batch, r.event_id) for r in logs.read_log(spark, folder, stream.schema).collect())
+    first = told()
+    assert [i for i, _, _ in first] == list(range(400)) and {e for *_, e in first} == set(range(400)) and {b for _, b, _ in first} == {0, 1, 2, 3}
+    assert [b for _, b, _ in first] == sorted(b for _, b, _ in first)
+    for name in ("commits/3", "commits/.3.crc"):  # the last batch wasn't committed: it runs again
+        os.remove(f"{folder}/state/{name}")
+    logs.append_numbered(stream, folder, ["ts", "event_id"])
+    assert told() == first
+    assert logs.numbered(table.limit(0), ["ts"]).count() == 0
