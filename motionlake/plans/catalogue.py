@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import archives, contracts, documents, episodes, export, fusion, gaits, gate, labels, lineage, manipulation, media, motion, poses, quality, reports, sessions, signals, streams, timeline, world
+from . import archives, contracts, documents, episodes, expansion, export, fusion, gaits, gate, labels, lineage, manipulation, media, motion, poses, quality, reports, sessions, signals, streams, timeline, world
 
-PARTS = (gate, fusion, timeline, manipulation, motion, poses, quality, contracts, labels, export, reports, documents, lineage, signals, gaits, sessions, archives, media, world, episodes, streams)
+PARTS = (gate, fusion, timeline, manipulation, motion, poses, quality, contracts, labels, export, reports, documents, lineage, signals, gaits, sessions, archives, media, world, episodes, expansion, streams)
 
 
 def queries() -> dict:
