@@ -126,3 +126,64 @@ def test_awkward_rows(spark):
         model = T.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
         assert T.score(docs, model).where("score BETWEEN 0 AND 1").count() == 8
     assert T.score(docs.limit(0), model).count() == 0
+
+
+def plain_match(word, lexicon):
+    """Weight and whether it is misspelled, by the distances to all terms."""
+    if word in lexicon.words:
+        return lexicon.words[word], False
+    stems = [s for s in lexicon.stems if word.startswith(s) and len(word) > len(s)]
+    if stems:
+        return lexicon.stems[max(stems, key=len)], False
+    near = [(d, t) for t in lexicon.terms if abs(len(t) - len(word)) <= 2 and (d := distance(word, t)) <= T.edits_for(len(t))]
+    return (lexicon.terms[min(near)[1]], True) if near else (0.0, False)
+
+
+def plain_features(text, lexicon, known):
+    tokens = T.tokens_of(text)
+    quotes = [i for i, w in enumerate(tokens) if w in T.QUOTES]
+    hits = []
+    for i, w in enumerate(tokens):
+        weight, wrong = known.setdefault(w, plain_match(w, lexicon)) if w not in known else known[w]
+        if weight:
+            before, after = [q for q in quotes if q < i], [q for q in quotes if q > i]
+            quoted = len(before) % 2 == 1 and i - before[-1] <= T.QUOTE_REACH and bool(after) and after[0] - i <= T.QUOTE_REACH
+            hits.append((i, weight, wrong, quoted))
+    if not hits:
+        return [0.0] * T.FEATURES
+    free = [(i, w, wrong) for i, w, wrong, quoted in hits if not quoted]
+    total = sum(w for _, w, _ in free)
+    densest = max((sum(w for j, w, _ in free if i <= j < i + T.WINDOW) for i, *_ in hits), default=0.0)
+    log = np.log1p
+    return [
+        log(total), log(sum(w for _, w, _, quoted in hits if quoted)), log(sum(w for _, w, wrong in free if wrong)), total / (len(tokens) + 20), log(densest), float(any(w > 0 for _, w, _ in free)),
+        max((w for _, w, wrong in free if not wrong), default=0.0),
+    ]
+
+
+def test_query_equals_plain_features_and_scores(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = Q.table(spark, sf, "documents"), Q.table(spark, sf, "labels")
+    model = T.fit(docs, labels)
+    assert model.lexicon.terms and model.weights
+    rows, known = docs.collect(), {}
+    x = np.array([plain_features(r.text, model.lexicon, known) for r in rows])
+    assert (x.sum(axis=1) > 0).sum() > 10
+    z = ((x - model.mean) / model.scale) @ np.array(model.weights) + model.bias
+    want = {r.doc_id: s for r, s in zip(rows, 1 / (1 + np.exp(-np.clip(z, -30, 30))), strict=True)}
+    got = Q.op10_toxicity(spark, sf).collect()
+    assert len(got) == len(want) and all(abs(r.score - want[r.doc_id]) < 1e-6 and r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    # The regression is at its optimum: no slope is left but the penalty's.
+    truth = {r.doc_id: r.toxic for r in labels.where("toxic IS NOT NULL").collect()}
+    train = [k for k, r in enumerate(rows) if r.doc_id in truth and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    y = np.array([truth[rows[k].doc_id] for k in train], dtype=float)
+    slope = ((x[train] - model.mean) / model.scale).T @ (y - np.array([want[rows[k].doc_id] for k in train])) - np.array(model.weights)
+    assert np.abs(slope).max() < 1e-4
+
+
+def test_ties():
+    lexicon = T.Lexicon({"abcdef": 1.0, "abcdeg": 9.0, "abcde": 4.0}, {})
+    assert lexicon.misspelled("abcdeh") == "abcde" and lexicon.match("abcdeh") == (4.0, True)  # equally near: the first in order
+    assert T.Lexicon({"abcdeg": 9.0, "abcdef": 1.0}, {}).match("abcdeh") == (1.0, True)
+    rows = [("bbbb", False, 50.0, 2.0), ("aaaa", False, 50.0, 3.0), ("cccc", True, 50.0, 1.0)]
+    assert T.choose_terms(rows, 10.0) == T.choose_terms(rows[::-1], 10.0)
