@@ -161,7 +161,8 @@ def director_events(rows: DataFrame, key: str, n: int, fallback: DataFrame) -> D
     each = rows.select(key, F.posexplode(F.slice("events", 1, n)).alias("i", "e")).where(F.trim(F.coalesce("e.base_prompt", F.lit(""))) != "")
     own = each.select(key, "i", text("subject", "person"), text("motion_style", "natural pace"), text("time_of_day", "midday"), text("lighting", "natural light"), F.trim("e.base_prompt").alias("base_prompt"))
     counts = rows.select(key).join(own.groupBy(key).agg(F.count("*").alias("n")), key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"))
-    spare = counts.where(F.col("n") < n).join(fallback, F.col("place") < n - F.col("n")).drop("n").withColumn("i", (n + F.col("place")).cast("int")).drop("place")
+    wanted = counts.where(F.col("n") < n).select(key, F.explode(F.sequence(F.lit(0), (n - 1 - F.col("n")).cast("int"))).alias("place"))
+    spare = wanted.join(fallback.withColumn("place", F.col("place").cast("int")), "place").withColumn("i", n + F.col("place")).drop("place")
     both = own.unionByName(spare).join(counts, key)
     place = F.when(F.col("n") < n, F.row_number().over(Window.partitionBy(key).orderBy("i")) - 1).otherwise(F.col("i"))
     return both.withColumn("event_id", F.format_string("e%02d", place)).drop("i", "n")
