@@ -97,6 +97,12 @@ def keyed_records(words: DataFrame) -> DataFrame:
     return base.select("word", "n", F.explode(all_of).alias("r")).select("word", "n", "r.*")
 
 
+def unsent(rows: DataFrame) -> DataFrame:
+    """rows, not to be broadcast: a word has a score of records, of which the small file that they come from tells nothing, so they'd
+    fill the driver long before that file reaches the limit of broadcasts."""
+    return rows.hint("merge")
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """word, near and near_n: words one letter apart, each pair both ways and once."""
     left = keyed_records(words)
@@ -106,7 +112,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     # Pairs that also meet by their first halves aren't taken by their second ones again.
     once = F.col("first") | (prefix("word") != prefix("word2"))
     apart = (F.col("less") | F.col("less2")) & (F.col("word") != F.col("word2")) & once & (F.levenshtein("word", "word2", 1) == 1)
-    return left.join(right, meet & apart).select("word", F.col("word2").alias("near"), F.col("n2").alias("near_n"))
+    return left.join(unsent(right), meet & apart).select("word", F.col("word2").alias("near"), F.col("n2").alias("near_n"))
 
 
 def forms_of(words: DataFrame, rules: Spelling = Spelling()) -> DataFrame:
@@ -114,7 +120,7 @@ def forms_of(words: DataFrame, rules: Spelling = Spelling()) -> DataFrame:
     best = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near")))
     near = near_pairs(words).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
     follows = -F.col("best.less") >= rules.ratio * F.col("n")
-    return words.join(near, "word", "left").select(
+    return words.join(unsent(near), "word", "left").select(
         "word",
         "n",
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
@@ -126,12 +132,12 @@ def forms_of(words: DataFrame, rules: Spelling = Spelling()) -> DataFrame:
 def roots_of(forms: DataFrame) -> DataFrame:
     """word and root of all words that have a form."""
     links = forms.where(F.col("form").isNotNull()).select("word", "form")
-    heads = links.select(F.col("form").alias("word")).distinct().join(links.select("word"), "word", "left_anti")
+    heads = links.select(F.col("form").alias("word")).distinct().join(unsent(links.select("word")), "word", "left_anti")
     level = heads.select("word", F.col("word").alias("root"))
     done = []
     while True:
         above = level.select(F.col("word").alias("form"), "root")
-        level = written(links.join(above, "form").select("word", "root"), "roots")
+        level = written(unsent(links).join(above, "form").select("word", "root"), "roots")
         if done and level.isEmpty():
             break
         done.append(level)
@@ -142,5 +148,5 @@ def variants(docs: DataFrame, rules: Spelling = Spelling(), text: str = "text",
     """word, form, root, n, n_near and form_n of every word that is long and frequent enough."""
     words = written(word_counts(docs, rules, text, key), "words")
     forms = written(forms_of(words, rules), "forms")
-    found = forms.join(roots_of(forms), "word", "left")
+    found = forms.join(unsent(roots_of(forms)), "word", "left")
     return found.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

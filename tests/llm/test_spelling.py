@@ -101,3 +101,10 @@ def test_awkward_rows(spark):
     found = sorted(tuple(r) for r in S.variants(docs).collect())
     assert found == plain_variants(plain_words((r.doc_id, r.text) for r in docs.collect())) and len(found) >= 4
     assert S.variants(docs.limit(0)).count() == 0
+
+
+def test_words_are_never_broadcast(spark):
+    """Files of words are small beside their records, so Spark would send those through the driver by their size."""
+    words = S.written(spark.createDataFrame([("carts", 9), ("darts", 20)], "word string, n long"), "few")
+    for df in (S.near_pairs(words), S.forms_of(words)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
