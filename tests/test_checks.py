@@ -1,7 +1,9 @@
 """The checks on small made-up clips: what must be found and what must not."""
 
 import math
+import random
 
+import duckdb
 import pytest
 
 from motionlake.operators import checks, kinematics
@@ -126,3 +128,23 @@ def test_hysteresis_and_runs(spark):
     assert got == [False, True, True, True, True, False, False, False, False, True, True, True]
     found = kinematics.runs(rows, ["k"], "i", rows.v < 3, 3).orderBy("first").collect()
     assert [(r["first"], r["last"], r.n) for r in found] == [(1, 4, 4), (9, 11, 3)]
+
+
+def test_quantiles_and_roundings_have_the_digits_of_sql(spark):
+    """A last digit moves rows over a limit or a rounding's half."""
+    rng = random.Random(5)
+    rows = [(key, round(rng.random() * 500, 2)) for key in range(60) for _ in range(rng.randrange(5, 60))]
+    df = spark.createDataFrame(rows, "key long, y double")
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE t (key BIGINT, y DOUBLE)")
+    duck.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    got = {r.key: (r.q, r.n) for r in kinematics.quantiles(df, ["key"], "y", 0.75, "q").collect()}
+    assert got == {k: (q, n) for k, q, n in duck.execute("SELECT key, quantile_cont(y, 0.75), count(*) FROM t GROUP BY 1").fetchall()}
+    eighth = sorted(r[0] for r in df.selectExpr("y / 8 AS y").select(kinematics.nearest("y", 4).alias("y")).collect())
+    assert eighth == sorted(r[0] for r in duck.execute("SELECT round(y / 8, 4) FROM t").fetchall())
+
+
+def test_distances_are_roots_of_sums(spark):
+    moves = [0.3, 0.7, 1.1, 2.3, 3.9]
+    df = spark.createDataFrame([(3.0 * m, 4.0 * m) for m in moves], "dx double, dy double")
+    assert [r[0] for r in df.select(kinematics.distance(df.dx, df.dy)).collect()] == [math.sqrt(3.0 * m * (3.0 * m) + 4.0 * m * (4.0 * m)) for m in moves]
