@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import adapters
 from ..operators import fusion as S
+from ..operators.kinematics import nearest
 
 KEY = ["user_id"]
 SUBJECT, CAMERA, WRIST, APERTURE, OBJECTS = CHANNELS = ["flow_subject_px_s", "flow_camera_px_s", "wrist_speed_m_s", "hand_aperture_m", "object_speed_frac_s"]
@@ -34,7 +35,7 @@ def channel_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _told(found: DataFrame) -> DataFrame:
     names = F.map_keys("means")
-    return found.withColumn("channels", F.array_join(F.transform(names, lambda c: c), ",")).withColumn("level", F.round("level", 8)).drop("means")
+    return found.withColumn("channels", F.array_join(F.transform(names, lambda c: c), ",")).withColumn("level", nearest("level", 8)).drop("means")
 
 
 def grid_activity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,3 +65,10 @@ def test_activity_levels(spark):
 def test_speeds(spark):
     rows = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (1, 1.0, 3.0, 4.0), (1, 1.0, 3.0, 4.0), (2, 0.0, 1.0, 1.0)], "clip long, t double, x double, y double")
     assert sorted(tuple(r) for r in S.speeds(rows, ["clip"], "t", ["x", "y"], 2).collect()) == [(1, 1.0, 0.0), (1, 1.0, 5.0)]
+
+
+def test_levels_have_the_same_digits_in_any_order(spark):
+    cells = [("a", "one", i, v) for i, v in enumerate([0.1, 0.2, 0.3])]
+    for rows in (cells, cells[::-1]):
+        grid = spark.createDataFrame(rows, "clip string, channel string, i long, v double").coalesce(1).withColumn("part", F.lit(0))
+        assert [r.level for r in S.segment_levels(grid, ["clip"], "part", "one").collect()] == [(0.3 + 0.2 + 0.1) / 3]
