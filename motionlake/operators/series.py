@@ -172,8 +172,9 @@ def duty_factor(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def flicker(rows: DataFrame, keys: list[str], order: str, p: Column) -> DataFrame:
-    """Mean change of presence (p over one half) from row to row; 0 for a single row."""
-    on = (p > 0.5).cast("int")
+    """Mean change of presence (p over one half) from row to row; 0 for a single row. The last digits of p, which depend on the order
+    in which a mean was added up, don't take it over one half."""
+    on = (F.round(p, 12) > 0.5).cast("int")
     step = F.abs(on - F.lag(on).over(Window.partitionBy(*keys).orderBy(order)))
     return rows.withColumn("__d", step).groupBy(*keys).agg(F.coalesce(F.avg("__d"), F.lit(0.0)).alias("flicker"))
 

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from motionlake.operators import fusion as S
+from motionlake.operators.series import flicker
 
 DDL = "clip string, channel string, hold boolean, t double, v double"
 
@@ -72,3 +73,8 @@ def test_levels_have_the_same_digits_in_any_order(spark):
     for rows in (cells, cells[::-1]):
         grid = spark.createDataFrame(rows, "clip string, channel string, i long, v double").coalesce(1).withColumn("part", F.lit(0))
         assert [r.level for r in S.segment_levels(grid, ["clip"], "part", "one").collect()] == [(0.3 + 0.2 + 0.1) / 3]
+
+
+def test_last_digits_of_a_mean_are_no_presence(spark):
+    rows = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.5000000000000001), (1, 2, 0.5), (2, 0, 0.5), (2, 1, 0.51)], "k long, i long, p double")
+    assert {r.k: r.flicker for r in flicker(rows, ["k"], "i", F.col("p")).collect()} == {1: 0.0, 2: 1.0}
