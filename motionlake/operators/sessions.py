@@ -167,10 +167,12 @@ DEFAULT_PRIOR = {"azimuth_deg": 0.0, "height_m": 1.5, "distance_m": 3.0, "fov_de
 TARGET = (0.0, 0.0, 0.9)
 
 
-def camera_priors(cameras: DataFrame, priors: DataFrame, variants: DataFrame, keys: list[str]) -> DataFrame:
+def camera_priors(cameras: DataFrame, priors: DataFrame, variants: DataFrame, keys: list[str], ties: list[str] | None = None) -> DataFrame:
     """Intrinsics and pose of each camera (keys, camera) from its prior (keys, camera and the names of DEFAULT_PRIOR), with the size
-    of its first variant (keys, camera, place, width, height) that could be probed; both have defaults."""
-    probed = variants.where("width > 0 AND height > 0").groupBy(*keys, "camera").agg(F.min_by(F.struct("width", "height"), "place").alias("probe"))
+    of its first variant (keys, camera, place, width, height) that could be probed; both have defaults. Of several variants of one
+    place the largest by the columns ``ties`` counts."""
+    first = F.when(F.col("place").isNotNull(), F.struct((-F.col("place")).alias("place"), *(ties or [])))
+    probed = variants.where("width > 0 AND height > 0").groupBy(*keys, "camera").agg(F.max_by(F.struct("width", "height"), first).alias("probe"))
     rows = cameras.select(*keys, "camera").join(priors.select(*keys, "camera", *DEFAULT_PRIOR), [*keys, "camera"], "left").join(probed, [*keys, "camera"], "left")
     rows = rows.select(*keys, "camera", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in DEFAULT_PRIOR.items()], *[F.coalesce(F.col(f"probe.{c}").cast("int"), F.lit(v)).alias(c) for c, v in DEFAULT_PROBE.items()])
     az = F.radians("azimuth_deg")

@@ -42,14 +42,15 @@ def session_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def camera_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cameras of a customer are the priorities of its orders; lines of an order are takes, those returned can't be probed."""
+    """Cameras of a customer are the priorities of its orders; lines of an order are takes, those returned can't be probed. Lines
+    may repeat an order's number; the table's last one counts, as in one thread's run of the SQL."""
     orders = adapters.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_id"), F.col("o_orderpriority").alias("camera"), "o_orderkey")
     size = F.when(F.col("l_returnflag") != "R", F.col("l_quantity").cast("int") * 20)
-    lines = adapters.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"), size.alias("width"), size.alias("height"))
+    lines = adapters.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"), size.alias("width"), size.alias("height"), "_metadata.file_name", "_metadata.row_index")
     customers = adapters.table(spark, sf_dir, "customer").where("c_custkey % 5 != 0")
     priors = orders.select("session_id", "camera").distinct().join(customers, F.col("session_id") == F.col("c_custkey"))
     priors = priors.select("session_id", "camera", (F.col("c_nationkey") * 14.0).alias("azimuth_deg"), (1 + F.col("c_nationkey") / 20.0).alias("height_m"), F.lit(4.0).alias("distance_m"), (F.col("c_custkey") % 140).cast("double").alias("fov_deg"))
-    found = S.camera_priors(orders.select("session_id", "camera").distinct(), priors, lines.join(orders, "o_orderkey"), KEY)
+    found = S.camera_priors(orders.select("session_id", "camera").distinct(), priors, lines.join(orders, "o_orderkey"), KEY, ["file_name", "row_index"])
     text = lambda c: F.array_join(F.transform(c, lambda x: F.format_string("%.3f", F.round(x, 3) + F.lit(0.0))), ",").alias(c)
     return found.select("session_id", "camera", "width", "height", F.round("fx", 4).alias("fx"), text("r"), text("t"))
 
