@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 
 BLOCK = 1024
+#: Samples of blocks that a task makes dense at once.
+DENSE = 1 << 20
 #: Samples up to which a reference tells nothing, and the confidence then.
 FEW, UNSURE = 10, 0.5
 #: Lags whose correlation is this near to the best, as a share of the signals' norms, are equal; the smallest counts.
@@ -27,10 +29,11 @@ TOLERANCE_S = 0.05
 
 
 def blocks(signals: DataFrame, keys: list[str], size: int = BLOCK) -> DataFrame:
-    """keys, name, p (the block's number) and __s: its samples as (place in the block, v)."""
+    """keys, name, p (the block's number), __k and __v: its samples' places in the block and values."""
     p = F.floor(F.col("i") / size)
     rows = signals.where("i >= 0 AND v IS NOT NULL").select(*keys, "name", p.alias("p"), (F.col("i") - p * size).cast("int").alias("k"), F.col("v").cast("double").alias("v"))
-    return rows.groupBy(*keys, "name", "p").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("__s"))
+    samples = rows.groupBy(*keys, "name", "p").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("__s"))
+    return samples.select(*keys, "name", "p", F.col("__s.k").alias("__k"), F.col("__s.v").alias("__v"))
 
 
 def sizes(signals: DataFrame, keys: list[str]) -> DataFrame:
@@ -39,11 +42,11 @@ def sizes(signals: DataFrame, keys: list[str]) -> DataFrame:
     return one.groupBy(*keys, "name").agg((F.max("i") + 1).alias("n"), F.coalesce(F.sum(F.col("v") * F.col("v")), F.lit(0.0)).alias("power"))
 
 
-def block_correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """sum a[n + lag] b[n] of two blocks (rows) for lags from 1 - size to size - 1, added up over the rows."""
+def block_correlations(a: np.ndarray, b: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """sum a[n + lag] b[n] of two blocks (rows) for lags from 1 - size to size - 1, added up over the rows from each start to the next."""
     size = a.shape[1]
-    c = np.fft.irfft((np.fft.rfft(a, 2 * size) * np.conj(np.fft.rfft(b, 2 * size))).sum(axis=0), 2 * size)
-    return np.concatenate([c[size + 1 :], c[:size]])
+    c = np.fft.irfft(np.add.reduceat(np.fft.rfft(a, 2 * size) * np.conj(np.fft.rfft(b, 2 * size)), starts, axis=0), 2 * size, axis=1)
+    return np.concatenate([c[:, size + 1 :], c[:, :size]], axis=1)
 
 
 def correlations(signals: DataFrame, pairs: DataFrame, keys: list[str], most: int | None = None, size: int = BLOCK) -> DataFrame:
@@ -52,20 +55,26 @@ def correlations(signals: DataFrame, pairs: DataFrame, keys: list[str], most: in
     known = sizes(signals, keys)
     named = lambda df, c: df.withColumnRenamed("name", c)
     both = pairs.select(*keys, "a", "b").join(named(known, "a").select(*keys, "a", F.col("n").alias("na")), [*keys, "a"]).join(named(known, "b").select(*keys, "b", F.col("n").alias("nb")), [*keys, "b"])
-    left = both.select(*keys, "a", "b").join(named(cut, "a"), [*keys, "a"]).select(*keys, "a", "b", "p", F.col("__s").alias("sa"))
+    left = both.select(*keys, "a", "b").join(named(cut, "a"), [*keys, "a"]).select(*keys, "a", "b", "p", F.col("__k").alias("ka"), F.col("__v").alias("va"))
     reach = None if most is None else -(-most // size) + 1
     last = F.floor((F.col("na") - 1) / size)
     low = F.lit(0).cast("long") if reach is None else F.greatest(F.col("q") - reach, F.lit(0))
     high = last if reach is None else F.least(F.col("q") + reach, last)
-    right = both.join(named(cut, "b"), [*keys, "b"]).select(*keys, "a", "b", F.col("p").alias("q"), F.col("__s").alias("sb"), "na")
+    right = both.join(named(cut, "b"), [*keys, "b"]).select(*keys, "a", "b", F.col("p").alias("q"), F.col("__k").alias("kb"), F.col("__v").alias("vb"), "na")
     right = right.withColumn("p", F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))))
-    met = left.join(right, [*keys, "a", "b", "p"]).select(*keys, "a", "b", (F.col("p") - F.col("q")).alias("d"), "sa", "sb")
+    met = left.join(right, [*keys, "a", "b", "p"]).select(*keys, "a", "b", (F.col("p") - F.col("q")).alias("d"), "ka", "va", "kb", "vb")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [*keys, "a", "b", "d"]
         for part in parts:
-            for key, group in part.groupby([*keys, "a", "b", "d"], dropna=False, sort=False):
-                value = block_correlation(dense(group["sa"], size), dense(group["sb"], size))
-                yield pd.DataFrame({**{c: [k] for c, k in zip([*keys, "a", "b", "d"], key, strict=True)}, "c": [value]})
+            group = part.groupby(names, dropna=False, sort=False).ngroup().to_numpy()
+            order = np.argsort(group, kind="stable")
+            for k in range(0, len(order), max(1, DENSE // size)):
+                rows = order[k : k + max(1, DENSE // size)]
+                starts = np.flatnonzero(np.diff(group[rows], prepend=-1))
+                cut = part.iloc[rows]
+                value = block_correlations(dense(cut["ka"], cut["va"], size), dense(cut["kb"], cut["vb"], size), starts)
+                yield cut[names].iloc[starts].assign(c=list(value))
 
     kinds = ", ".join(f"`{c}` {met.schema[c].dataType.simpleString()}" for c in (*keys, "a", "b", "d"))
     sums = met.mapInPandas(run, f"{kinds}, c array<double>").select(*keys, "a", "b", "d", F.posexplode("c").alias("l", "c"))
@@ -75,10 +84,10 @@ def correlations(signals: DataFrame, pairs: DataFrame, keys: list[str], most: in
     return found.where(inside if most is None else inside & (F.abs("lag") <= most)).select(*keys, "a", "b", "lag", "value")
 
 
-def dense(column: pd.Series, size: int) -> np.ndarray:
-    out = np.zeros((len(column), size))
-    for row, samples in zip(out, column, strict=True):
-        row[[s["k"] for s in samples]] = [s["v"] for s in samples]
+def dense(places: pd.Series, values: pd.Series, size: int) -> np.ndarray:
+    out = np.zeros((len(places), size))
+    for row, k, v in zip(out, places, values, strict=True):
+        row[k] = v
     return out
 
 
