@@ -18,6 +18,8 @@ MIN_HZ = 0.3
 MIN_CORR = 0.3
 #: Samples up to which the distances of all pairs are held at once.
 PAIRS_AT_ONCE = 2000
+#: Cells of a kernel (ends by samples) that are made at once.
+KERNEL_CELLS = 1 << 17
 
 
 def dominant_period(signal: np.ndarray, fps: float) -> float:
@@ -57,12 +59,19 @@ def phase_lag(reference: np.ndarray, signal: np.ndarray) -> float:
     return float(corr.argmax() / len(a))
 
 
+def square_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of one series to all of another, added up channel by channel."""
+    total = np.zeros((len(a), len(b)))
+    for p, q in zip(a.T, b.T, strict=True):
+        total += (q[None, :] - p[:, None]) ** 2
+    return total
+
+
 def median_distance(x: np.ndarray) -> float:
     """Median of the squared distances of all pairs of different rows; of long series found by ever finer counts."""
     n = len(x)
     if n <= PAIRS_AT_ONCE:
-        d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
-        return float(np.median(d[np.triu_indices(n, 1)]))
+        return float(np.median(square_distances(x, x)[~np.tri(n, dtype=bool)]))
 
     def rows() -> Iterator[np.ndarray]:
         for i in range(n - 1):
@@ -85,8 +94,8 @@ def median_distance(x: np.ndarray) -> float:
 def kernel_changepoints(x: np.ndarray, min_size: int, penalty: float) -> list[int]:
     """Ends of the segments that minimise the within-segment spread in a Gaussian kernel's space plus the penalty of each cut.
 
-    The kernel's sums over all segments that end at a sample follow from those that end at the one before, so memory
-    grows with the samples, not with their square.
+    The kernel's sums over all segments that end at a sample follow from those that end at the one before; they are made for
+    as many ends at once as KERNEL_CELLS allow, so memory grows with the samples, not with their square.
     """
     n = len(x)
     if n < 2 * min_size:
@@ -95,15 +104,22 @@ def kernel_changepoints(x: np.ndarray, min_size: int, penalty: float) -> list[in
     inside = np.zeros(n)  # of the segment from each start to the sample last seen
     best, last = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int)
     best[0] = -penalty
-    for end in range(1, n + 1):
-        near = np.exp(-((x[:end] - x[end - 1]) ** 2).sum(axis=1) / width)
-        inside[:end] += 2 * near[::-1].cumsum()[::-1] - 1.0  # the sample itself counts once
-        if end >= min_size:
-            s = np.arange(0, end - min_size + 1)
-            length = end - s
-            total = best[s] + length - inside[s] / length + penalty
-            k = int(total.argmin())
-            best[end], last[end] = total[k], s[k]
+    each = max(1, KERNEL_CELLS // n)
+    for first in range(0, n, each):
+        rows = np.arange(first, min(first + each, n))
+        near = np.exp(-square_distances(x[rows], x[: rows[-1] + 1]) / width)
+        seen = np.arange(rows[-1] + 1) <= rows[:, None]
+        gain = np.where(seen, 2 * (near * seen)[:, ::-1].cumsum(axis=1)[:, ::-1] - 1.0, 0.0)  # the sample itself counts once
+        gain[0] += inside[: rows[-1] + 1]
+        sums = gain.cumsum(axis=0)
+        inside[: rows[-1] + 1] = sums[-1]
+        for row, end in zip(sums, rows + 1, strict=True):
+            if end >= min_size:
+                most = end - min_size + 1
+                length = np.arange(end, min_size - 1, -1)
+                total = best[:most] + length - row[:most] / length + penalty
+                k = int(total.argmin())
+                best[end], last[end] = total[k], k
     cuts, at = [], n
     while at > 0:
         cuts.append(at)

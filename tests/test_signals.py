@@ -102,3 +102,14 @@ def test_steps_are_segments():
     z = (speed - speed.mean()) / speed.std()
     assert S.kernel_changepoints(z, 5, float(np.log(100))) == [40, 70, 100]
     assert S.kernel_changepoints(np.zeros((50, 1)), 5, 1.0) == [50]
+
+
+def test_kernels_are_made_for_many_ends_at_once(monkeypatch):
+    """Few calls for all ends, and the same cuts from blocks of any size."""
+    x = np.repeat(np.random.default_rng(3).normal(size=(12, 3)), 25, axis=0) + np.random.default_rng(4).normal(scale=0.1, size=(300, 3))
+    calls, plain = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda v: calls.append(1) or plain(v))
+    found = S.kernel_changepoints(x, 5, 8.0)
+    assert found[-1] == 300 and len(calls) <= 3
+    monkeypatch.setattr(S, "KERNEL_CELLS", 1000, raising=False)
+    assert S.kernel_changepoints(x, 5, 8.0) == found
