@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,11 +55,20 @@ def duplicate_ids(rows: DataFrame, keys: list[str], name: str, order: str) -> Da
     return rows.withColumn("__k", F.row_number().over(w)).where("__k > 1").drop("__k")
 
 
+#: Rows of one partition of pairs: what a task holds of them doesn't grow with the table.
+PART_ROWS = 1_000_000
+
+
 def set_errors(locked: DataFrame, referenced: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """keys, missing (locked, not referenced) and unknown (referenced, not locked), each sorted."""
-    sides = locked.select(*keys, name, F.lit(True).alias("l")).distinct().unionByName(referenced.select(*keys, name, F.lit(True).alias("r")).distinct(), allowMissingColumns=True)
-    one = sides.groupBy(*keys, name).agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    found = one.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("r").isNull(), F.col(name)))).alias("missing"), F.sort_array(F.collect_list(F.when(F.col("l").isNull(), F.col(name)))).alias("unknown"))
+    """keys, missing (locked, not referenced) and unknown (referenced, not locked), each sorted.
+
+    A pair is told by one aggregate over both sides, in as many partitions as their rows ask for; only pairs that lack a side go on.
+    """
+    sides = locked.select(*keys, name, F.lit(True).alias("l")).unionByName(referenced.select(*keys, name, F.lit(True).alias("r")), allowMissingColumns=True)
+    parts = max(sides.sparkSession.sparkContext.defaultParallelism, math.ceil(sides.count() / PART_ROWS))
+    one = sides.repartition(parts, *keys, name).groupBy(*keys, name).agg(F.max("l").alias("l"), F.max("r").alias("r")).where(F.col("l").isNull() | F.col("r").isNull())
+    lacks = lambda side: F.sort_array(F.collect_list(F.when(F.col(side).isNull(), F.col(name))))
+    found = one.groupBy(*keys).agg(lacks("r").alias("missing"), lacks("l").alias("unknown"))
     return found.where((F.size("missing") > 0) | (F.size("unknown") > 0))
 
 
