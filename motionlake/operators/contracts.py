@@ -43,10 +43,15 @@ def plain(text: Column) -> Column:
     return F.translate(F.lower(text), "_-", "  ")
 
 
-def inside(value: Column, bounds: Column) -> Column:
-    """Within the two bounds in whichever order; without two bounds only zero is."""
-    pair = F.array_sort(bounds)
-    return F.when(F.coalesce(F.size(bounds), F.lit(0)) == 2, value.between(F.get(pair, F.lit(0)), F.get(pair, F.lit(1)))).otherwise(F.abs(value) <= 1e-9)
+def limits() -> Column:
+    """Bounds of a contract's deltas as entity_id and struct(lo, hi) of dx and dy: the two bounds in whichever order; without two only zero is inside."""
+
+    def pair(bounds: Column) -> Column:
+        low_high = F.array_sort(bounds)
+        two = F.coalesce(F.size(bounds), F.lit(0)) == 2
+        return F.struct(F.when(two, F.get(low_high, F.lit(0))).otherwise(F.lit(-1e-9)).alias("lo"), F.when(two, F.get(low_high, F.lit(1))).otherwise(F.lit(1e-9)).alias("hi"))
+
+    return F.transform("deltas", lambda r: F.struct(r["entity_id"].alias("entity_id"), pair(r["dx"]).alias("dx"), pair(r["dy"]).alias("dy")))
 
 
 def contract_errors() -> Column:
@@ -62,60 +67,64 @@ def contract_errors() -> Column:
     ))
 
 
-def delta_errors() -> Column:
-    """Of position deltas: of entities that aren't locked, or may not move, or move too far."""
-    locked = ids("entities")
+def without_nulls(texts: Column) -> Column:
+    """The distinct texts in their order: array_except is compiled with what it reads, array_compact makes Spark interpret all of it."""
+    return F.array_except(texts, F.array(F.lit(None).cast("string")))
+
+
+def delta_errors(locked: Column, bounds: Column) -> Column:
+    """Of position deltas: of entities that aren't locked, or may not move, or move too far; null where a rule is kept."""
+
+    def met(d: Column) -> Column:
+        bound = F.get(F.filter(bounds, lambda r: r["entity_id"] == d["entity_id"]), F.lit(0))
+        return F.struct(F.coalesce(d["dx"], F.lit(0.0)).alias("dx"), F.coalesce(d["dy"], F.lit(0.0)).alias("dy"), F.coalesce(F.array_contains(locked, d["entity_id"]), F.lit(False)).alias("known"), bound.alias("bound"))
 
     def judge(d: Column, i: Column) -> Column:
-        bound = F.get(F.filter("deltas", lambda r: r["entity_id"] == d["entity_id"]), F.lit(0))
-        dx, dy = F.coalesce(d["dx"], F.lit(0.0)), F.coalesce(d["dy"], F.lit(0.0))
         at = F.concat(F.lit("position_deltas["), i.cast("string"), F.lit("]: "))
-        known, moved = F.coalesce(F.array_contains(locked, d["entity_id"]), F.lit(False)), (F.abs(dx) > 1e-9) | (F.abs(dy) > 1e-9)
-        far = lambda name, v: F.when(known & bound.isNotNull() & ~inside(v, bound[name]), F.concat(at, F.lit(f"{name} is out of bounds")))
-        return F.array_compact(F.array(F.when(~known, F.concat(at, F.lit("not a locked entity"))), F.when(known & bound.isNull() & moved, F.concat(at, F.lit("may not move"))), far("dx", dx), far("dy", dy)))
+        bound, moved = d["bound"], (F.abs(d["dx"]) > 1e-9) | (F.abs(d["dy"]) > 1e-9)
+        far = lambda name: F.when(bound.isNotNull() & ~d[name].between(bound[name]["lo"], bound[name]["hi"]), F.concat(at, F.lit(f"{name} is out of bounds")))
+        known = F.array(F.when(bound.isNull() & moved, F.concat(at, F.lit("may not move"))), far("dx"), far("dy"))
+        return F.when(d["known"], known).otherwise(F.array(F.concat(at, F.lit("not a locked entity"))))
 
-    return F.flatten(F.transform(F.coalesce("position_deltas", F.array().cast(f"array<{DELTA}>")), judge))
+    return F.flatten(F.transform(F.transform(F.coalesce("position_deltas", F.array().cast(f"array<{DELTA}>")), met), judge))
 
 
-def timeline_errors() -> Column:
-    """Of steps: invalid spans, ends beyond the clip, an order that falls behind an earlier start, unknown actors."""
-    locked, steps = ids("entities"), F.col("timeline")
+def timeline_errors(locked: Column) -> Column:
+    """Of steps: invalid spans, ends beyond the clip, an order that falls behind an earlier start, unknown actors; null where a rule is kept."""
+    steps = F.col("timeline")
+    starts = F.transform(steps, lambda s: F.coalesce(s["t_start"], F.lit(-1.0)))
 
     def judge(s: Column, i: Column) -> Column:
         at = F.concat(F.lit("action_timeline["), i.cast("string"), F.lit("]: "))
         t0, t1 = F.coalesce(s["t_start"], F.lit(-1.0)), F.coalesce(s["t_end"], F.lit(-1.0))
-        earlier = F.array_max(F.transform(F.slice(steps, 1, i), lambda e: F.coalesce(e["t_start"], F.lit(-1.0))))
-        return F.array_compact(F.array(
+        # The first step has none before it; of two, the one before it is the earlier one.
+        earlier = F.when(i == 0, F.lit(-1.0)).when(i == 1, F.coalesce(F.get(steps, F.lit(0))["t_start"], F.lit(-1.0))).otherwise(F.array_max(F.slice(starts, 1, i)))
+        return F.array(
             F.when((t0 < 0) | (t1 <= t0), F.concat(at, F.lit("t_start/t_end invalid"))),
             F.when(t1 > F.coalesce("duration", F.lit(0.0)) + 1e-6, F.concat(at, F.lit("ends beyond the clip"))),
-            F.when(t0 < F.coalesce(earlier, F.lit(-1.0)), F.concat(at, F.lit("not ordered by t_start"))),
+            F.when(t0 < earlier, F.concat(at, F.lit("not ordered by t_start"))),
             F.when(~F.coalesce(F.array_contains(locked, s["actor"]), F.lit(False)), F.concat(at, F.lit("actor is not a locked entity"))),
-        ))
+        )
 
     return F.when(F.coalesce(F.size(steps), F.lit(0)) == 0, F.array(F.lit("action_timeline is empty"))).otherwise(F.flatten(F.transform(steps, judge)))
 
 
-def responds() -> Column:
+def responds(robot_ids: Column) -> Column:
     """Whether a robot does something like the expected response from the trigger on."""
     terms = F.filter(F.split(plain(F.coalesce("response", F.lit(""))), r"\s+"), lambda w: F.length(w) >= 3)
-    words = F.concat(F.array(*[F.lit(w) for w in RESPONSE_WORDS]), terms)
-
-    def does(s: Column) -> Column:
-        action = plain(F.coalesce(s["action"], F.lit("")))
-        on = F.array_contains(robots("entities"), s["actor"]) & (F.coalesce(s["t_start"], F.lit(-1.0)) + 1e-6 >= F.coalesce("trigger", F.lit(-1.0)))
-        return F.coalesce(on, F.lit(False)) & F.exists(words, lambda w: F.contains(action, w))
-
-    return F.exists(F.coalesce("timeline", F.array().cast(f"array<{STEP}>")), does)
+    acts = lambda s: F.array_contains(robot_ids, s["actor"]) & (F.coalesce(s["t_start"], F.lit(-1.0)) + 1e-6 >= F.coalesce("trigger", F.lit(-1.0)))
+    actions = F.transform(F.filter(F.coalesce("timeline", F.array().cast(f"array<{STEP}>")), acts), lambda s: plain(F.coalesce(s["action"], F.lit(""))))
+    return F.exists(actions, lambda a: a.rlike("|".join(RESPONSE_WORDS)) | F.exists(terms, lambda w: F.contains(a, w)))
 
 
-def scenario_errors() -> Column:
-    """Errors of a scenario that stands in one row with its contract, in the order of the rules."""
-    locked, referenced = ids("entities"), F.coalesce("referenced", F.array().cast("array<string>"))
+def scenario_errors(locked: Column, robot_ids: Column, bounds: Column) -> Column:
+    """Errors of a scenario that stands in one row with its contract and the ids of its entities and robots and its limits, in the order of the rules."""
+    referenced = F.coalesce("referenced", F.array().cast("array<string>"))
     missing, unknown = F.array_except(locked, referenced), F.array_except(referenced, locked)
     no = lambda c: ~F.coalesce(c, F.lit(False))
     duration, trigger = F.coalesce("duration", F.lit(0.0)), F.coalesce("trigger", F.lit(-1.0))
     window = F.size("timing") == 2
-    first = F.array_compact(F.array(
+    first = F.array(
         F.when(F.size(missing) > 0, F.concat(F.lit("referenced_entities is missing "), told(missing))),
         F.when(F.size(unknown) > 0, F.concat(F.lit("referenced_entities has unknown ids "), told(unknown))),
         F.when(no(F.array_contains("camera_angles", F.col("angle"))), F.lit("camera.angle is not allowed")),
@@ -124,22 +133,32 @@ def scenario_errors() -> Column:
         F.when(no(F.col("severity").isin(RISK_SEVERITIES)), F.lit("event.risk_severity is unknown")),
         F.when(~trigger.between(F.lit(0.0), duration), F.lit("event.trigger_time_seconds is outside the clip")),
         F.when(F.coalesce(window & ~trigger.between(F.get("timing", F.lit(0)), F.get("timing", F.lit(1))), F.lit(False)), F.lit("event.trigger_time_seconds is outside the allowed window")),
-    ))
-    last = F.array_compact(F.array(
+    )
+    last = F.array(
         F.when(F.trim(F.coalesce("response", F.lit(""))) == "", F.lit("expected_robot_response is required")),
-        F.when(F.size(robots("entities")) == 0, F.lit("no robot entity is available to react")),
-        F.when(~responds(), F.lit("action_timeline must include a robot response after the trigger")),
+        F.when(F.size(robot_ids) == 0, F.lit("no robot entity is available to react")),
+        F.when(~responds(robot_ids), F.lit("action_timeline must include a robot response after the trigger")),
         F.when(F.coalesce(F.size("labels"), F.lit(0)) == 0, F.lit("expected_labels is empty")),
         F.when(F.trim(F.coalesce("scenario_id", F.lit(""))) == "", F.lit("scenario_id is empty")),
-    ))
-    return F.concat(first, delta_errors(), timeline_errors(), last)
+    )
+    return without_nulls(F.concat(first, delta_errors(locked, bounds), timeline_errors(locked), last))
+
+
+def judged(scenarios: DataFrame, contracts: DataFrame, key: str) -> DataFrame:
+    """scenarios with their contract's columns and errors, apart from equal ids; what a contract's rules need is made once a contract."""
+    ready = contracts.withColumns({"__locked": ids("entities"), "__robots": robots("entities"), "__limits": limits()})
+    return scenarios.join(ready, key).withColumn("errors", scenario_errors(F.col("__locked"), F.col("__robots"), F.col("__limits"))).drop("__locked", "__robots", "__limits")
+
+
+def repeats(key: str, order: str) -> Column:
+    """Whether an earlier scenario of the world has the same id."""
+    return F.row_number().over(Window.partitionBy(key, "scenario_id").orderBy(order)) > 1
 
 
 def validate(scenarios: DataFrame, contracts: DataFrame, key: str, order: str) -> DataFrame:
     """scenarios with their contract's columns and errors; of equal ids in a world only the first is free of that error."""
-    again = F.row_number().over(Window.partitionBy(key, "scenario_id").orderBy(order)) > 1
-    rows = scenarios.join(contracts, key)
-    return rows.withColumn("errors", scenario_errors()).withColumn("errors", F.when(again, F.concat("errors", F.array(F.lit("scenario_id is a duplicate")))).otherwise(F.col("errors")))
+    rows = judged(scenarios, contracts, key)
+    return rows.withColumn("errors", F.when(repeats(key, order), F.concat("errors", F.array(F.lit("scenario_id is a duplicate")))).otherwise(F.col("errors")))
 
 
 def repaired(scenarios: DataFrame, contracts: DataFrame, rounds: list[DataFrame], key: str, order: str) -> DataFrame:
@@ -150,7 +169,8 @@ def repaired(scenarios: DataFrame, contracts: DataFrame, rounds: list[DataFrame]
     names = [c for c in scenarios.columns if c not in (key, order)]
     place = lambda rows: rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order)))
     for fixes in rounds:
-        bad = place(validate(scenarios, contracts, key, order).where(F.size("errors") > 0).select(key, order))
+        told = judged(scenarios, contracts, key).select(key, order, "scenario_id", (F.size("errors") > 0).alias("__bad"))
+        bad = place(told.withColumn("__again", repeats(key, order)).where(F.col("__bad") | F.col("__again")).select(key, order))
         new = place(fixes).select(key, "__n", F.struct(*names).alias("__fix"))
         slots = bad.join(new, [key, "__n"]).select(key, order, "__fix")
         scenarios = scenarios.join(slots, [key, order], "left").select(key, order, *[F.when(F.col("__fix").isNotNull(), F.col(f"__fix.{c}")).otherwise(F.col(c)).alias(c) for c in names])
