@@ -144,6 +144,19 @@ def test_quantiles_and_roundings_have_the_digits_of_sql(spark):
     assert eighth == sorted(r[0] for r in duck.execute("SELECT round(y / 8, 4) FROM t").fetchall())
 
 
+def test_quantiles_between_close_samples(spark):
+    """The shares are those of SQL, down to the last digit, at each share that 0.9 makes."""
+    rng = random.Random(7)
+    rows = [(key, rng.random() * 3) for key in range(400) for _ in range(5 + key % 40)]
+    df = spark.createDataFrame([*rows, (1000, 1e300), (1000, 1.5e300)], "key long, y double")
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE t (key BIGINT, y DOUBLE)")
+    duck.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    got = {r.key: r.q for r in kinematics.quantiles(df, ["key"], "y", 0.9, "q").collect()}
+    assert got.pop(1000) == pytest.approx(1.45e300)
+    assert got == dict(duck.execute("SELECT key, quantile_cont(y, 0.9) FROM t GROUP BY 1").fetchall())
+
+
 def test_distances_are_roots_of_sums(spark):
     moves = [0.3, 0.7, 1.1, 2.3, 3.9]
     df = spark.createDataFrame([(3.0 * m, 4.0 * m) for m in moves], "dx double, dy double")
