@@ -157,6 +157,16 @@ def test_quantiles_between_close_samples(spark):
     assert got == dict(duck.execute("SELECT key, quantile_cont(y, 0.9) FROM t GROUP BY 1").fetchall())
 
 
+def test_a_score_that_is_a_half_is_rounded_up(spark):
+    """0.2017675: added up one by one, the losses make 0.20176749999999988."""
+    worst = {"trajectory_jump": 0.7324999999999999, "foot_skate": 0.63405, "object_disappearance": 0.85, "gravity_suspicion": 0.6, "levitation": 0.85, "telekinesis_suspicion": 0.8, "object_deformation": 0.85}
+    clips = spark.createDataFrame([(1, FPS, W, H, N)], TABLES["clips"])
+    for kinds in (list(worst), sorted(worst), sorted(worst, reverse=True)):
+        rows = [(1, k, worst[k], [1], "", False, 1, "box", "formal") for k in kinds]
+        found = checks.clip_scores(spark.createDataFrame(rows, TABLES["violations"]).coalesce(1), clips).select(kinematics.nearest("score", 6).alias("score"), "n_types").first()
+        assert (found.score, found.n_types) == (0.201768, 7)
+
+
 def test_distances_are_roots_of_sums(spark):
     moves = [0.3, 0.7, 1.1, 2.3, 3.9]
     df = spark.createDataFrame([(3.0 * m, 4.0 * m) for m in moves], "dx double, dy double")
