@@ -3,6 +3,7 @@
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,34 @@ def test_hand_made_track(spark):
     got = [(r.track_id, r.kind, r.frame, r.vx, r.n) for r in R.track_rows(table, KEYS, 2.0, "2024-01-01 00:25:00", GAP).orderBy("track_id", "ts", F.desc("kind")).collect()]
     assert got == [(1, "seen", 0, 0.0, 1), (1, "seen", 1, 2.0, 2), (1, "seen", 3, 16.0, 3), (1, "ended", 3, None, 3), (1, "seen", 20, 0.0, 1), (2, "seen", 1, 0.0, 1), (2, "ended", 1, None, 1)]
     assert R.track_rows(table.limit(0), KEYS, 2.0).count() == 0
+
+
+class Calls:
+    """A handle and its states, which count what is asked of them."""
+
+    def __init__(self):
+        self.stored, self.n = [], 0
+
+    def counted(self, *values):
+        self.n += 1
+
+    getValueState = getListState = lambda self, *_: self
+    registerTimer = counted
+
+    def appendValue(self, value):
+        self.stored.append(value)
+        self.n += 1
+
+    def appendList(self, values):
+        self.stored += values
+        self.n += 1
+
+
+@pytest.mark.parametrize("n", [1, 500])
+def test_rows_of_a_batch_are_one_element_of_state(n):
+    calls, tracker = Calls(), R.Tracker(["k"], 6.0, GAP)
+    tracker.init(calls)
+    part = pd.DataFrame({"ms": range(n), "frame": range(n), "x": [None, *([1.0] * (n - 1))], "y": 2.0})
+    assert sum(len(out) == 0 for out in tracker.handleInputRows((1,), iter([part]), None)) == 0
+    assert len(calls.stored) == 1 and calls.n == 2
+    assert calls.stored[0] == (list(range(n)), list(range(n)), [None, *([1.0] * (n - 1))], [2.0] * n)
